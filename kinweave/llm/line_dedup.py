@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinweave.llm._spark import columns, deal, materialize, part_bits, small_side
+from kinweave.llm._spark import columns, deal, materialize, part_bits
 from kinweave.llm._text import U64, by_part, mix
 
 _WHITE = b" \t\n\r\x0b\x0c"
@@ -125,6 +125,7 @@ def repeated_lines(docs: DataFrame, filter_bits: int = 28, min_chars: int = 10)
     seen = materialize(docs.mapInArrow(suspects, "doc_id long, k1 long, k2 long"))
     # Partial aggregation folds a line that is everywhere to one row a task before it is shuffled.
     first = seen.groupBy("k1", "k2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").drop("last")
+    first = materialize(first)  # the join then shuffles both of its sides, and a key that is everywhere can be split
     return seen.join(first, ["k1", "k2"]).filter("doc_id > first").select("doc_id", "k1", "k2")
 
 
@@ -134,9 +135,8 @@ def dedup_lines(docs: DataFrame, filter_bits: int = 28, min_chars: int = 10, wit
     ``with_text=False`` returns the digest columns without the texts.
     """
     drops = repeated_lines(docs, filter_bits, min_chars).groupBy("doc_id").agg(F.collect_set(F.struct("k1", "k2")).alias("_drop"))
-    drops = materialize(drops)
     other = [c for c in docs.columns if c not in ("text", "n_lines", "n_dropped", "kept_sha256", "_drop")]
-    joined = docs.select(*[F.col(f"`{c}`") for c in other], "text").join(small_side(drops, row_bytes=160), "doc_id", "left")
+    joined = docs.select(*[F.col(f"`{c}`") for c in other], "text").join(drops, "doc_id", "left")
     schema = docs.select(*[F.col(f"`{c}`") for c in other]).schema
     schema = (schema.add("text", "string") if with_text else schema).add("n_lines", "long").add("n_dropped", "long").add("kept_sha256", "string")
 

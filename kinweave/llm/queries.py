@@ -10,6 +10,15 @@ from kinweave.llm._spark import table
 from kinweave.llm.decontaminate import contamination
 from kinweave.llm.line_dedup import dedup_lines
 from kinweave.llm.ngram_join import similar_components
+from kinweave.llm.pattern_packing import pack
+from kinweave.llm.token_output import packed_rows
+
+
+def vocabulary() -> str:
+    """The byte-level vocabulary file that the packing queries use."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,6 +29,14 @@ def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_components(table(spark, sf_dir, "documents"), k=4, percent=85)
 
 
+def op3_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed_rows(table(spark, sf_dir, "documents"), vocabulary(), length=2048)
+
+
+def op6_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), vocabulary(), length=2048)
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
 
@@ -27,6 +44,8 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
+    "op3_token_output": op3_token_output,
+    "op6_pattern_packing": op6_pattern_packing,
     "op7_decontaminate": op7_decontaminate,
 }
 

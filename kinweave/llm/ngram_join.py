@@ -229,37 +229,33 @@ def divide_skip(sets: list[np.ndarray], percent: int, mu: float = 0.01) -> list[
     return links
 
 
-def _blocks(members: DataFrame, percent: int) -> DataFrame:
+def _blocks(members: DataFrame, percent: int, block_shingles: int) -> DataFrame:
     """(rep, task): the tasks that each set goes to. One task for a group, or those of all blocks it must meet."""
     spark = members.sparkSession
-    least = members.agg(F.sum("n")).first()[0] or 0
-    fair = max(BLOCK_SHINGLES, 2 * least // max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200"))))
-    base = 100 / percent * (1 + 1e-9)
-    banded = members.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(base))).cast("int"))
+    every = members.agg(F.sum("n")).first()[0] or 0
+    fair = max(block_shingles, 2 * every // max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200"))))
+    # Similar sizes lie within one band's width, so a set meets the blocks of its band and of the one on either side.
+    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / percent * (1 + 1e-9)))).cast("int")
+    banded = members.withColumn("band", band)
     weight = banded.groupBy("comp", "band").agg(F.sum("n").alias("w"))
     whole = weight.groupBy("comp").agg(F.sum("w").alias("all"))
-    # A set meets the blocks of its band and of the two next to it on either side: similar sizes lie within one band's width.
-    blocks = weight.join(whole, "comp").filter(F.col("all") > fair).select("comp", "band", F.ceil(2 * F.col("w") / fair).cast("int").alias("blocks"))
-    blocks = materialize(blocks)
-    if blocks.isEmpty():
-        return members.select("rep", F.struct("comp", *[F.lit(0).alias(c) for c in ("band_a", "block_a", "band_b", "block_b")]).alias("task"))
-    near = blocks.groupBy("comp").agg(F.map_from_entries(F.collect_list(F.struct("band", "blocks"))).alias("of"))
-    placed = banded.join(near, "comp", "left")
-    own = F.pmod(F.xxhash64("rep"), F.col("of")[F.col("band")].cast("long")).cast("int")
-    tasks = []
-    for step in (-1, 0, 1):
-        other = F.col("band") + step
-        count = F.coalesce(F.col("of")[other], F.lit(0))
-        mine, theirs = lambda j: F.struct(F.col("band").alias("b"), own.alias("i")), lambda j, other=other: F.struct(other.alias("b"), j.cast("int").alias("i"))
-        tasks.append(F.when(count > 0, F.transform(F.sequence(F.lit(0), F.greatest(count - 1, F.lit(0))), lambda j, mine=mine, theirs=theirs: F.array_sort(F.array(mine(j), theirs(j))))).otherwise(F.array().cast("array<array<struct<b:int,i:int>>>")))
-    pair = F.when(F.col("of").isNull(), F.array(F.array(*[F.struct(F.lit(0).alias("b"), F.lit(0).alias("i"))] * 2))).otherwise(F.concat(*tasks))
-    met = placed.select("rep", "comp", F.explode(pair).alias("p"))
-    return met.select("rep", F.struct("comp", F.col("p")[0]["b"].alias("band_a"), F.col("p")[0]["i"].alias("block_a"), F.col("p")[1]["b"].alias("band_b"), F.col("p")[1]["i"].alias("block_b")).alias("task"))
-
-
-def _links(docs: DataFrame, members: DataFrame, k: int, percent: int) -> DataFrame:
+    large = weight.join(whole, "comp").filter(F.col("all") > fair)
+    blocks = large.groupBy("comp").agg(F.map_from_entries(F.collect_list(F.struct("band", F.ceil(2 * F.col("w") / fair).cast("int").alias("blocks")))).alias("of"))
+    placed = banded.join(blocks, "comp", "left")
+    place = lambda band, block: F.struct(band.cast("int").alias("band"), block.cast("int").alias("block"))
+    nowhere = place(F.lit(0), F.lit(0))
+    alone = placed.filter("of IS NULL").select("rep", "comp", nowhere.alias("p"), nowhere.alias("q"))
+    split = placed.filter("of IS NOT NULL").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("of")[F.col("band")].cast("long")))
+    near = split.select("*", F.explode(F.array(*[F.lit(x) for x in (-1, 0, 1)])).alias("step")).withColumn("there", F.col("of")[F.col("band") + F.col("step")])
+    met = near.filter("there > 0").select("*", F.explode(F.sequence(F.lit(0), F.col("there") - 1)).alias("block"))
+    mine, theirs = place(F.col("band"), F.col("own")), place(F.col("band") + F.col("step"), F.col("block"))
+    cut = met.select("rep", "comp", F.least(mine, theirs).alias("p"), F.greatest(mine, theirs).alias("q"))
+    return alone.union(cut).select("rep", F.struct("comp", F.col("p.band").alias("band_a"), F.col("p.block").alias("block_a"), F.col("q.band").alias("band_b"), F.col("q.block").alias("block_b")).alias("task"))
+
+
+def _links(docs: DataFrame, members: DataFrame, k: int, percent: int, block_shingles: int) -> DataFrame:
     """(a, b): links between the representatives that DivideSkip confirms."""
-    tasks = materialize(_blocks(members, percent))
+    tasks = materialize(_blocks(members, percent, block_shingles))
     spread = tasks.groupBy("rep").agg(F.collect_list("task").alias("tasks"))
     texts = docs.join(small_side(materialize(spread), row_bytes=64), docs["doc_id"] == F.col("rep"))
 
@@ -282,7 +278,7 @@ def _links(docs: DataFrame, members: DataFrame, k: int, percent: int) -> DataFra
     return loaded.groupBy("task").applyInArrow(search, "a long, b long")
 
 
-def similar_components(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
+def similar_components(docs: DataFrame, k: int = 4, percent: int = 85, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row with an id: links are Jaccard similarities of percent or more."""
     docs = columns(docs, "doc_id", "text").filter("doc_id IS NOT NULL")
     bits = part_bits(docs.sparkSession)
@@ -294,7 +290,7 @@ def similar_components(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFr
     grouped = candidates.join(rows.filter("n > 0"), candidates["node"] == rows["doc_id"]).groupBy("component", "s1", "s2", "n").agg(F.min("doc_id").alias("rep"))
     several = grouped.groupBy("component").agg(F.count("*").alias("sets")).filter("sets > 1")
     members = materialize(grouped.join(several, "component").select("rep", F.col("component").alias("comp"), "n"))
-    found = components(_links(docs, members, k, percent))
+    found = components(_links(docs, members, k, percent, block_shingles))
     named = materialize(classes.join(found, classes["rep"] == found["node"], "left").select("s1", "s2", "n", F.coalesce("component", "rep").alias("component_id")))
     linked = rows.join(named, ["s1", "s2", "n"], "left")
     return linked.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))

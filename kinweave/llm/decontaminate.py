@@ -142,13 +142,13 @@ def blocks(benchmark: DataFrame, span: int, limit: int = BLOCK_WINDOWS) -> Itera
         yield block
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, span: int = 13, k: int = 8, limit: int = BLOCK_WINDOWS) -> DataFrame:
-    """The columns of ``docs`` but text, with n_words, n_hit, n_items, items_sha256 and contaminated."""
+def contamination(docs: DataFrame, benchmark: DataFrame, span: int = 13, k: int = 8, limit: int = BLOCK_WINDOWS, with_text: bool = False) -> DataFrame:
+    """The columns of ``docs`` (text only if asked for) with n_words, n_hit, n_items, items_sha256 and contaminated."""
     spark = docs.sparkSession
     other = [c for c in docs.columns if c not in ("text", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")]
     docs = columns(docs, *other, "text")
-    carried = docs.drop("text").schema
-    schema = carried.add("n_words", "long").add("n_hit", "long").add("n_items", "long").add("items_sha256", "string").add("contaminated", "boolean")
+    carried = docs if with_text else docs.drop("text")
+    schema = carried.schema.add("n_words", "long").add("n_hit", "long").add("n_items", "long").add("items_sha256", "string").add("contaminated", "boolean")
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_()]
     parts = [spark.sparkContext.broadcast(Fingerprints(b, span, k)) for b in blocks(benchmark, span, limit)] or [spark.sparkContext.broadcast(Fingerprints([], span, k))]
     if len(parts) == 1:
@@ -163,7 +163,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, span: int = 13, k: int
     covered = F.aggregate(F.array_sort("_hit"), F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("to")), lambda s, x: F.struct((s["n"] + F.greatest(F.lit(0), x["b"] - F.greatest(x["a"], s["to"]))).alias("n"), F.greatest(s["to"], x["b"]).alias("to")))["n"]
     judged = merged.select("_id", F.col("_n").alias("n_words"), covered.alias("n_hit"), F.size("_items").cast("long").alias("n_items"), F.sha2(F.array_join("_items", ","), 256).alias("items_sha256"))
     judged = judged.withColumn("contaminated", F.expr("n_hit > 0 AND 20 * n_hit >= n_words"))
-    return docs.drop("text").join(judged, docs["doc_id"].eqNullSafe(judged["_id"])).select(*schema.names)
+    return carried.join(judged, docs["doc_id"].eqNullSafe(judged["_id"])).select(*schema.names)
 
 
 def _judge(batches: Iterator[pa.RecordBatch], prints: Fingerprints, names: list[str], kinds: list[pa.DataType]) -> Iterator[pa.RecordBatch]:
@@ -171,7 +171,7 @@ def _judge(batches: Iterator[pa.RecordBatch], prints: Fingerprints, names: list[
 
     def done() -> pa.RecordBatch:
         new = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)]
-        return pa.RecordBatch.from_arrays([*last.columns[:-1], *new], names=names)
+        return pa.RecordBatch.from_arrays([*last.columns[: len(names) - len(new)], *new], names=names)
 
     for batch, _, words, hit, items in _scan(batches, prints):
         if last is not None and batch is not last:

@@ -12,6 +12,7 @@ from kinweave.llm.line_dedup import dedup_lines
 from kinweave.llm.ngram_join import similar_components
 from kinweave.llm.pattern_packing import pack
 from kinweave.llm.token_output import packed_rows
+from kinweave.llm.toxicity import scores
 
 
 def vocabulary() -> str:
@@ -41,12 +42,18 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return scores(docs, table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
     "op3_token_output": op3_token_output,
     "op6_pattern_packing": op6_pattern_packing,
     "op7_decontaminate": op7_decontaminate,
+    "op9_toxicity": op9_toxicity,
 }
 
 ORACLES: dict[str, str] = {

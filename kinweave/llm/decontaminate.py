@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from kinweave.llm._spark import columns
 from kinweave.llm._text import ALNUM, U64, Words, ranges, slices, sliding_min, window_starts, windows
@@ -148,7 +149,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, span: int = 13, k: int
     other = [c for c in docs.columns if c not in ("text", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")]
     docs = columns(docs, *other, "text")
     carried = docs if with_text else docs.drop("text")
-    schema = carried.schema.add("n_words", "long").add("n_hit", "long").add("n_items", "long").add("items_sha256", "string").add("contaminated", "boolean")
+    schema = T.StructType(list(carried.schema.fields)).add("n_words", "long").add("n_hit", "long").add("n_items", "long").add("items_sha256", "string").add("contaminated", "boolean")
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_()]
     parts = [spark.sparkContext.broadcast(Fingerprints(b, span, k)) for b in blocks(benchmark, span, limit)] or [spark.sparkContext.broadcast(Fingerprints([], span, k))]
     if len(parts) == 1:

@@ -150,7 +150,7 @@ def pack(docs: DataFrame, vocabulary: str, length: int = 2048, end_id: int = 0)
     cut = materialize(pieces(docs, vocabulary, length, end_id))
     counts = {int(r["length"]): int(r["count"]) for r in cut.groupBy("length").count().collect()}  # at most `length` rows
     slots = spark.sparkContext.broadcast(_slots(plan(counts, length)))
-    buckets = 16 * int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
     keyed = cut.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(buckets)))
     sizes = keyed.groupBy("length", "bucket").agg(F.count("*").alias("n"))
     before = F.sum("n").over(Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))

@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from kinweave.llm._spark import table
 from kinweave.llm.decontaminate import contamination
+from kinweave.llm.language_id import predict
 from kinweave.llm.line_dedup import dedup_lines
 from kinweave.llm.ngram_join import similar_components
 from kinweave.llm.pattern_packing import pack
+from kinweave.llm.quality_rules import judge
 from kinweave.llm.token_output import packed_rows
 from kinweave.llm.toxicity import scores
 
@@ -42,6 +44,15 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
 
 
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return judge(docs, table(spark, sf_dir, "labels")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return predict(table(spark, sf_dir, "documents").select("doc_id", "text", "lang")).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return scores(docs, table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
@@ -53,7 +64,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_output": op3_token_output,
     "op6_pattern_packing": op6_pattern_packing,
     "op7_decontaminate": op7_decontaminate,
+    "op8_quality_rules": op8_quality_rules,
     "op9_toxicity": op9_toxicity,
+    "op10_language_id": op10_language_id,
 }
 
 ORACLES: dict[str, str] = {

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from kinweave.llm._spark import table
 from kinweave.llm.decontaminate import contamination
+from kinweave.llm.html_extract import extract
 from kinweave.llm.language_id import predict
 from kinweave.llm.line_dedup import dedup_lines
 from kinweave.llm.ngram_join import similar_components
@@ -36,6 +37,10 @@ def op3_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_rows(table(spark, sf_dir, "documents"), vocabulary(), length=2048)
 
 
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 def op6_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), vocabulary(), length=2048)
 
@@ -62,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
     "op3_token_output": op3_token_output,
+    "op5_html_extraction": op5_html_extraction,
     "op6_pattern_packing": op6_pattern_packing,
     "op7_decontaminate": op7_decontaminate,
     "op8_quality_rules": op8_quality_rules,

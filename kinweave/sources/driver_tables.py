@@ -33,7 +33,7 @@ SELECT concat('ORD-', lpad(CAST(o_orderkey AS STRING), 12, '0')) AS order_id,
        CASE WHEN noise = 'clean' THEN concat('Building ', bs) WHEN noise = 'moderate' THEN concat('Bldg-', bs) ELSE concat('B ', translate(bs, {_DIGITS})) END AS building,
        CASE WHEN noise = 'clean' THEN concat('Unit ', us) WHEN noise = 'moderate' THEN concat('Apt ', translate(us, {_DIGITS})) WHEN k % 3 = 0 THEN '' ELSE translate(us, {_DIGITS}) END AS unit,
        CASE WHEN noise = 'clean' THEN code WHEN noise = 'moderate' THEN replace(code, '-', ' ') WHEN k % 4 < 2 THEN '' ELSE replace(code, '-', '') END AS postcode,
-       CASE WHEN (k + u) % 3 = 0 THEN concat('FAM-X-', CAST(k AS STRING)) ELSE concat('FAM-', CAST(floor(k / 8) AS STRING), '-', us) END AS family_token,
+       CASE WHEN (k + u) % 3 = 0 THEN concat('FAM-X-', CAST(k AS STRING)) ELSE concat('FAM-', CAST(CAST(floor(k / 8) AS BIGINT) AS STRING), '-', us) END AS family_token,
        o_orderdate AS order_date
 FROM ({PLACED}) placed
 """

@@ -170,9 +170,8 @@ def read_ids(rows: pa.Table, length: int = 2048) -> np.ndarray:
     return np.frombuffer(raw, np.uint32 if wide else np.uint16).reshape(rows.num_rows, length)
 
 
-def unpacked(row: dict) -> Iterator[tuple[int, int, int, np.ndarray]]:
+def unpacked(row: dict, length: int = 2048) -> Iterator[tuple[int, int, int, np.ndarray]]:
     """(doc_id, piece, start, ids) of each segment of a packed row."""
-    length = len(row["ids"])
-    ids = np.frombuffer(row["ids"], np.uint16 if length % 4096 == 0 and length // 2 >= row["n_ids"] else np.uint32)
+    ids = np.frombuffer(row["ids"], np.uint32 if len(row["ids"]) == 4 * length else np.uint16)
     for doc_id, piece, start, a, b in zip(row["doc_ids"], row["pieces"], row["starts"], row["cu_lengths"], row["cu_lengths"][1:], strict=False):
         yield doc_id, piece, start, ids[a:b]

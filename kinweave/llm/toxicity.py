@@ -60,8 +60,8 @@ def _counts(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
             yield found, counts.astype(np.int32), n
 
 
-def _sample(docs: DataFrame, labels: DataFrame, most_positive: int, most_unlabelled: int) -> list[tuple[bool, np.ndarray, np.ndarray]]:
-    """(positive, codes, densities) of the sampled training texts."""
+def _sample(docs: DataFrame, labels: DataFrame, most_positive: int, most_unlabelled: int) -> list[tuple[bool, np.ndarray, np.ndarray, int]]:
+    """(positive, codes, their counts, words) of the sampled training texts, positive ones first."""
     near = F.xxhash64(F.col("doc_id"), F.lit(17))
     toxic = labels.filter(F.col("toxic") == 1).filter(~held_out()).select("doc_id").distinct()
     known = columns(docs, "doc_id").filter(~held_out())
@@ -71,22 +71,26 @@ def _sample(docs: DataFrame, labels: DataFrame, most_positive: int, most_unlabel
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(c.tobytes(), (100 * k / (n + SMOOTH)).astype(np.float32).tobytes()) for c, k, n in _counts(batch.column(1))]
-            own = [pa.array([r[i] for r in rows], pa.binary()) for i in (0, 1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *own], ["doc_id", "positive", "codes", "density"])
+            rows = [(c.tobytes(), np.minimum(k, 255).astype(np.uint8).tobytes(), n) for c, k, n in _counts(batch.column(1))]
+            own = [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.binary(), pa.binary(), pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *own], ["doc_id", "positive", "codes", "counts", "n"])
 
     texts = columns(docs, "doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "positive")
-    rows = texts.mapInArrow(count, "doc_id long, positive boolean, codes binary, density binary").collect()
-    rows = sorted(rows, key=lambda r: (r["doc_id"], not r["positive"], r["codes"]))
-    return [(r["positive"], np.frombuffer(r["codes"], np.int32), np.frombuffer(r["density"], np.float32)) for r in rows]
+    rows = texts.mapInArrow(count, "doc_id long, positive boolean, codes binary, counts binary, n long").toArrow()
+    rows = rows.sort_by([("positive", "descending"), ("doc_id", "ascending"), ("codes", "ascending")])
+    return [(p.as_py(), np.frombuffer(c.as_buffer(), np.int32), np.frombuffer(k.as_buffer(), np.uint8), n.as_py()) for p, c, k, n in zip(*(rows[x] for x in ("positive", "codes", "counts", "n")), strict=True)]
 
 
 def _select(rows: list[tuple], most: int) -> np.ndarray:
     """The codes that set P apart from U best, by the likelihood ratio of the shares of texts that hold them."""
     shares = []
     for side in (True, False):
-        own = [r[1] for r in rows if r[0] is side]
-        shares.append((np.bincount(np.concatenate(own), minlength=1 << BITS), len(own)))
+        seen, texts = np.zeros(1 << BITS, np.int32), 0
+        for row in rows:
+            if row[0] is side:
+                seen[row[1]] += 1  # a text's codes are distinct
+                texts += 1
+        shares.append((seen, texts))
     (p, np_), (u, nu) = shares
     a, b = (p + 0.5) / (np_ + 1), (u + 0.5) / (nu + 1)
     gain = np_ * (a * np.log(a / b) + (1 - a) * np.log((1 - a).clip(1e-9) / (1 - b).clip(1e-9)))
@@ -95,14 +99,14 @@ def _select(rows: list[tuple], most: int) -> np.ndarray:
     return best[gain[best] > 6]  # about the 0.05 % level of a single word
 
 
-def non_negative_pu(x: np.ndarray, positive: np.ndarray, prior: float, rounds: int = 600, decay: float = 1e-3) -> tuple[np.ndarray, float]:
+def non_negative_pu(x: np.ndarray, positive: np.ndarray, prior: float, rounds: int = 600, decay: float = 3e-4) -> tuple[np.ndarray, float]:
     """Weights and intercept of a linear model under the non-negative risk with logistic loss, by Adam over all rows."""
-    p, u = x[positive], x[~positive]
-    w, b = np.zeros(x.shape[1]), float(np.log(prior / (1 - prior)))
+    p, u = x[: int(positive.sum())], x[int(positive.sum()) :]  # positive rows come first, so these are views
+    w, b = np.zeros(x.shape[1], np.float32), float(np.log(prior / (1 - prior)))
     m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
     sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
     for t in range(1, rounds + 1):
-        zp, zu = p @ w + b, u @ w + b
+        zp, zu = (p @ w).astype(float) + b, (u @ w).astype(float) + b
         sp, su = sigmoid(zp), sigmoid(zu)
         negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
         up_p = -prior * (1 - sp) / len(p)
@@ -111,14 +115,14 @@ def non_negative_pu(x: np.ndarray, positive: np.ndarray, prior: float, rounds: i
             gp, gu = up_p + down_p, down_u
         else:  # step back: undo what overfits the unlabelled texts
             gp, gu = -down_p, -down_u
-        slope = np.append(p.T @ gp + u.T @ gu + decay * w, gp.sum() + gu.sum())
+        slope = np.append(gp.astype(np.float32) @ p + gu.astype(np.float32) @ u + decay * w, gp.sum() + gu.sum())
         m, v = 0.9 * m + 0.1 * slope, 0.999 * v + 0.001 * slope**2
         step = 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-        w, b = w - step[:-1], b - step[-1]
+        w, b = (w - step[:-1]).astype(np.float32), b - step[-1]
     return w, b
 
 
-def train(docs: DataFrame, labels: DataFrame, most_positive: int = 4000, most_unlabelled: int = 8000, most_words: int = 512) -> tuple[np.ndarray, float] | None:
+def train(docs: DataFrame, labels: DataFrame, most_positive: int = 3000, most_unlabelled: int = 6000, most_words: int = 512) -> tuple[np.ndarray, float] | None:
     """Weights of the hashed words and the intercept; None without positive labels."""
     labels = columns(labels, "doc_id", "toxic")
     split = labels.filter(F.col("toxic").isNotNull()).filter(~held_out()).agg(F.sum((F.col("toxic") == 1).cast("long")), F.count("*")).first()
@@ -129,11 +133,12 @@ def train(docs: DataFrame, labels: DataFrame, most_positive: int = 4000, most_un
     prior = min(max(split[0] / split[1], 1e-4), 0.5)
     codes = np.sort(_select(rows, most_words))
     x = np.zeros((len(rows), len(codes)), np.float32)
-    for i, (_, own, density) in enumerate(rows):
+    for i, (_, own, counts, n) in enumerate(rows):
         at = np.minimum(np.searchsorted(codes, own), max(0, len(codes) - 1))
         hit = codes[at] == own if len(codes) else np.zeros(len(own), dtype=bool)
-        x[i, at[hit]] = density[hit]
-    w, b = non_negative_pu(x.astype(np.float64), positive, prior)
+        x[i, at[hit]] = 100 * counts[hit].astype(np.float32) / (n + SMOOTH)
+    del rows
+    w, b = non_negative_pu(x, positive, prior)
     out = np.zeros(1 << BITS, np.float32)
     out[codes] = w
     return out, float(b)

@@ -32,7 +32,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    groups = materialize(similar_components(docs, k=5, percent=80))
+    groups = materialize(similar_components(docs, k=5, percent=80, narrow=True))
     return docs.join(groups.filter("doc_id <> component_id").select("doc_id"), "doc_id", "left_anti").select(docs.columns)
 
 

@@ -4,8 +4,9 @@ A document's set holds the hashes of its distinct k-word shingles. Sets meet in
 
 1. Routing, exact by the pigeonhole rule. Sizes fall into groups so that similar sets lie in the same or the next
    group. Two similar sets in a group differ in at most D elements; the hash space is cut into K = D + 1 + E parts,
-   so that at least E + 1 parts hold the same elements in both. A set sends one signature for each part with elements
-   (for its own and the next group); a set with more than E empty parts also sends the shingles of its prefix.
+   so that at least E + 1 parts hold the same elements in both. A set sends one signature for each part with two
+   elements or more (for its own and the next group); one with more than E other parts sends those with one element
+   too, and one with more than E empty parts also the shingles of its prefix.
    Equal sets of a batch send theirs once. Signatures that meet give candidate groups, not pairs.
 2. T-occurrence search (DivideSkip) inside each candidate group: an inverted index over its sets, the shorter lists of
    a query merged by a heap, the L longest only probed by binary search for the candidates that are left. Documents
@@ -35,6 +36,10 @@ from kinweave.llm.components import components
 
 #: A candidate group is cut into blocks above this many shingles, or above twice its fair share of all.
 BLOCK_SHINGLES = 30_000
+#: One part in so many is spare: parts that may be left out of a set's signatures.
+SPARE = 12
+#: Sets of large candidate groups are first compared on this share of the hash space (a power of two).
+SLICE = 4
 
 
 def shingle_sets(texts: pa.Array, k: int) -> Iterator[np.ndarray]:
@@ -74,14 +79,17 @@ def _signatures(own: np.ndarray, percent: int) -> np.ndarray:
     out = []
     for g in (group, group + 1):
         differ = 2 * int(high[g]) * (100 - percent) // (100 + percent)
-        spare = 1 + differ // 12
+        spare = 1 + differ // SPARE
         parts = differ + 1 + spare
         cut = np.searchsorted(((own >> U64(32)) * U64(parts)) >> U64(32), np.arange(parts + 1, dtype=U64))
-        full = np.flatnonzero(cut[1:] > cut[:-1])
+        held = np.diff(cut)
+        full = np.flatnonzero(held > 1)
+        if parts - len(full) > spare:  # the rule needs single elements too
+            full = np.flatnonzero(held)
+            if parts - len(full) > spare:
+                prefix = len(own) - -(-percent * len(own) // 100) + 1
+                out.append(mix(own[:prefix] + U64(g)))
         out.append(mix(sums[cut[full + 1]] - sums[cut[full]] + mix(full.astype(U64) + U64(g << 32))))
-        if parts - len(full) > spare:
-            prefix = len(own) - -(-percent * len(own) // 100) + 1
-            out.append(mix(own[:prefix] + U64(g)))
     return np.concatenate(out)
 
 
@@ -179,26 +187,46 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(roots, kinds[0]), pa.array(nodes, kinds[1]), none.cast(pa.int32()), none, none], names)
 
 
-def divide_skip(sets: list[np.ndarray], percent: int, mu: float = 0.01) -> list[tuple[int, int]]:
+def divide_skip(sets: list[np.ndarray], percent: int, mu: float = 0.01, whole: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Links (i, j) that span the components of all similar pairs among the sets, by T-occurrence search.
 
     A query's T is the least overlap with any similar set. Its L longest lists are set aside; a candidate must be met
     T - L times in the merged shorter ones, and only then is looked up in the long lists.
+
+    With ``whole``, the sizes of the whole sets, ``sets`` are their parts in one slice of the hash space: a pair is then
+    linked unless the slice proves that it is not similar. At most a set's size less the least overlap can be missing.
     """
-    sizes = np.array([len(s) for s in sets])
+    held = np.array([len(s) for s in sets])
+    sizes = held if whole is None else whole
     total = len(sets)
     tokens, inverse, df = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    owner = np.repeat(np.arange(total), sizes)
+    owner = np.repeat(np.arange(total), held)
     order = np.argsort(inverse, kind="stable")
     postings, start = owner[order], np.concatenate([[0], np.cumsum(df)])
     probe = inverse[order] * total + postings  # sorted: a list's documents in order, list by list
-    edges = np.concatenate([[0], np.cumsum(sizes)])
+    edges = np.concatenate([[0], np.cumsum(held)])
     root = np.arange(total)
     links: list[tuple[int, int]] = []
+
+    def least(q: int, other: np.ndarray | int) -> np.ndarray | int:
+        """The shared elements that a similar pair must show here."""
+        overlap = -(-percent * (sizes[q] + sizes[other]) // (100 + percent))
+        return overlap - np.minimum(sizes[q] - held[q], sizes[other] - held[other])
+
+    def join(q: int, other: int) -> None:
+        links.append((other, q))
+        root[root == max(root[other], root[q])] = min(root[other], root[q])
+
     for q in range(1, total):
+        need = int(held[q] - sizes[q] + -(-percent * sizes[q] // 100))
+        if need <= 0:  # the slice cannot rule all out
+            near = np.flatnonzero((sizes[:q] * 100 >= percent * sizes[q]) & (sizes[:q] * percent <= 100 * sizes[q]))
+            for other in near[np.asarray(least(q, near)) <= 0].tolist():
+                if root[other] != root[q]:
+                    join(q, other)
+            need = 1
         lists = inverse[edges[q] : edges[q + 1]]
         lists = lists[df[lists] > 1]
-        need = -(-percent * int(sizes[q]) // 100)
         if len(lists) < need:
             continue
         lists = lists[np.argsort(df[lists], kind="stable")]
@@ -222,18 +250,20 @@ def divide_skip(sets: list[np.ndarray], percent: int, mu: float = 0.01) -> list[
                 key = long * total + last
                 at = np.minimum(np.searchsorted(probe, key), len(probe) - 1)
                 both = met + int((probe[at] == key).sum())
-                if 100 * both >= percent * (int(sizes[q]) + int(sizes[last]) - both):
-                    links.append((last, q))
-                    root[root == max(root[last], root[q])] = min(root[last], root[q])
+                if both >= least(q, last):
+                    join(q, last)
             last, met = doc, 1
     return links
 
 
-def _blocks(members: DataFrame, percent: int, block_shingles: int) -> DataFrame:
-    """(rep, task): the tasks that each set goes to. One task for a group, or those of all blocks it must meet."""
-    spark = members.sparkSession
+def _fair(members: DataFrame, block_shingles: int) -> int:
+    """Shingles of a candidate group that one task may get."""
     every = members.agg(F.sum("n")).first()[0] or 0
-    fair = max(block_shingles, 2 * every // max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200"))))
+    return max(block_shingles, 2 * every // max(1, int(members.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))))
+
+
+def _blocks(members: DataFrame, percent: int, fair: int) -> DataFrame:
+    """(rep, task): the tasks that each set goes to. One task for a group, or those of all blocks it must meet."""
     # Similar sizes lie within one band's width, so a set meets the blocks of its band and of the one on either side.
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / percent * (1 + 1e-9)))).cast("int")
     banded = members.withColumn("band", band)
@@ -253,33 +283,52 @@ def _blocks(members: DataFrame, percent: int, block_shingles: int) -> DataFrame:
     return alone.union(cut).select("rep", F.struct("comp", F.col("p.band").alias("band_a"), F.col("p.block").alias("block_a"), F.col("q.band").alias("band_b"), F.col("q.block").alias("block_b")).alias("task"))
 
 
-def _links(docs: DataFrame, members: DataFrame, k: int, percent: int, block_shingles: int) -> DataFrame:
-    """(a, b): links between the representatives that DivideSkip confirms."""
-    tasks = materialize(_blocks(members, percent, block_shingles))
+def _links(docs: DataFrame, members: DataFrame, k: int, percent: int, fair: int, sliced: bool = False) -> DataFrame:
+    """(a, b): links between the representatives that DivideSkip confirms, or on a slice does not rule out."""
+    tasks = materialize(_blocks(members, percent, fair))
     spread = tasks.groupBy("rep").agg(F.collect_list("task").alias("tasks"))
     texts = docs.join(small_side(materialize(spread), row_bytes=64), docs["doc_id"] == F.col("rep"))
+    top = U64((1 << 64) // SLICE)
 
     def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = pa.array([s.tobytes() for s in shingle_sets(batch.column(1), k)], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), sets], ["rep", "tasks", "own"])
+            sizes, sets = [], []
+            for own in shingle_sets(batch.column(1), k):
+                sizes.append(len(own))
+                sets.append((own[: np.searchsorted(own, top)] if sliced else own).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(sizes, pa.int64()), pa.array(sets, pa.binary())], ["rep", "tasks", "n", "own"])
 
     kind = tasks.schema["task"].dataType.simpleString()
-    loaded = texts.select("rep", "text", "tasks").mapInArrow(load, f"rep long, tasks array<{kind}>, own binary")
-    loaded = loaded.select("rep", F.explode("tasks").alias("task"), "own")
+    loaded = texts.select("rep", "text", "tasks").mapInArrow(load, f"rep long, tasks array<{kind}>, n long, own binary")
+    loaded = loaded.select("rep", F.explode("tasks").alias("task"), "n", "own")
 
     def search(group: pa.Table) -> pa.Table:
-        found = sorted(zip(group["rep"].to_pylist(), group["own"].to_pylist(), strict=True))
+        found = sorted(zip(group["rep"].to_pylist(), group["n"].to_pylist(), group["own"].to_pylist(), strict=True))
         found = [x for i, x in enumerate(found) if not i or x[0] != found[i - 1][0]]
-        reps = [r for r, _ in found]
-        links = divide_skip([np.frombuffer(o, U64) for _, o in found], percent) if len(found) > 1 else []
-        return pa.table({"a": pa.array([reps[i] for i, _ in links], pa.int64()), "b": pa.array([reps[j] for _, j in links], pa.int64())})
+        whole = np.array([n for _, n, _ in found])
+        links = divide_skip([np.frombuffer(o, U64) for *_, o in found], percent, whole=whole) if len(found) > 1 else []
+        return pa.table({"a": pa.array([found[i][0] for i, _ in links], pa.int64()), "b": pa.array([found[j][0] for _, j in links], pa.int64())})
 
     return loaded.groupBy("task").applyInArrow(search, "a long, b long")
 
 
-def similar_components(docs: DataFrame, k: int = 4, percent: int = 85, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every row with an id: links are Jaccard similarities of percent or more."""
+def _narrowed(docs: DataFrame, members: DataFrame, k: int, percent: int, fair: int) -> DataFrame:
+    """Members with their large groups cut down to what a slice of the hash space cannot rule out."""
+    large = members.groupBy("comp").agg(F.sum("n").alias("w")).filter(F.col("w") > fair).select("comp")
+    wide = materialize(members.join(large, "comp", "left_semi"))
+    if wide.isEmpty():
+        return members
+    passed = components(_links(docs, wide, k, percent, SLICE * fair, sliced=True))
+    kept = wide.drop("comp").join(passed, wide["rep"] == passed["node"]).select("rep", F.col("component").alias("comp"), "n")
+    return materialize(members.join(large, "comp", "left_anti").select("rep", "comp", "n").union(kept))
+
+
+def similar_components(docs: DataFrame, k: int = 4, percent: int = 85, block_shingles: int = BLOCK_SHINGLES, narrow: bool = False) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of every row with an id: links are Jaccard similarities of percent or more.
+
+    ``narrow`` adds the search on a slice for large candidate groups. It never changes the result; it pays where the
+    threshold is low, since signatures then cover few elements and candidate groups grow large.
+    """
     docs = columns(docs, "doc_id", "text").filter("doc_id IS NOT NULL")
     bits = part_bits(docs.sparkSession)
     sent = docs.mapInArrow(lambda b: _route(b, k, percent, bits), "part int, ids binary, n binary, high binary, low binary, at binary")
@@ -290,7 +339,10 @@ def similar_components(docs: DataFrame, k: int = 4, percent: int = 85, block_shi
     grouped = candidates.join(rows.filter("n > 0"), candidates["node"] == rows["doc_id"]).groupBy("component", "s1", "s2", "n").agg(F.min("doc_id").alias("rep"))
     several = grouped.groupBy("component").agg(F.count("*").alias("sets")).filter("sets > 1")
     members = materialize(grouped.join(several, "component").select("rep", F.col("component").alias("comp"), "n"))
-    found = components(_links(docs, members, k, percent, block_shingles))
+    fair = _fair(members, block_shingles)
+    if narrow:
+        members = _narrowed(docs, members, k, percent, fair)
+    found = components(_links(docs, members, k, percent, fair))
     named = materialize(classes.join(found, classes["rep"] == found["node"], "left").select("s1", "s2", "n", F.coalesce("component", "rep").alias("component_id")))
     linked = rows.join(named, ["s1", "s2", "n"], "left")
     return linked.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))

@@ -64,9 +64,9 @@ def test_lines(spark, docs):
     assert small == got  # a filter far too small sends more suspects and changes nothing
 
 
-@pytest.mark.parametrize("block", [30_000, 40])
-def test_classes(spark, docs, block):
-    got = rows_of(ngram_join.similar_components(frame(spark, docs), block_shingles=block), "n_shingles", "component_id")
+@pytest.mark.parametrize(("block", "narrow"), [(30_000, False), (40, False), (40, True)])
+def test_classes(spark, docs, block, narrow):
+    got = rows_of(ngram_join.similar_components(frame(spark, docs), block_shingles=block, narrow=narrow), "n_shingles", "component_id")
     assert got == brute.classes(docs)
 
 
@@ -99,6 +99,20 @@ def test_divide_skip_links_what_is_similar(sets, percent):
     assert found == want
 
 
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.sets(st.integers(0, 40), min_size=1), min_size=2, max_size=10), st.integers(0, 41), st.sampled_from([50, 80, 85]))
+def test_a_slice_rules_out_no_link(sets, edge, percent):
+    arrays = [np.array(sorted(x for x in s if x < edge), np.uint64) for s in sets]
+    root = list(range(len(sets)))
+    for a, b in ngram_join.divide_skip(arrays, percent, whole=np.array([len(s) for s in sets])):
+        low, high = sorted((root[a], root[b]))
+        root = [low if x == high else x for x in root]
+    for i in range(len(sets)):
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j]):
+                assert root[i] == root[j]
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.sets(st.integers(0, 2**64 - 1), min_size=1, max_size=60), st.data())
 def test_similar_sets_share_a_signature(base, data):

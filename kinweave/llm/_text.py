@@ -1,8 +1,9 @@
 """Vectorised text arrays: words, hashes and runs over Arrow string columns.
 
 Texts are worked on as UTF-8 bytes in slices of about a megabyte, so that memory follows the slice (or one
-longer document) and not the Arrow batch. Word and window hashes are 64-bit polynomial sums over a random byte
-table, finished with a mixing step; equal sequences always get equal hashes.
+longer document) and not the Arrow batch. A word's hash is a 64-bit sum of random values, one for each byte and its
+place in the word (tabulation), finished with a mixing step; a window's hash is a tree of mixed pairs of word hashes.
+Neither is a polynomial, so no text collides by its shape alone; equal sequences always get equal hashes.
 """
 
 from __future__ import annotations
@@ -14,8 +15,9 @@ import pyarrow as pa
 
 U64 = np.uint64
 SLICE_BYTES = 1 << 20
-_BYTE_BASE = 0x9E3779B97F4A7C15 | 1
-_WORD_BASE = 0xD6E8FEB86659FD93 | 1
+_ODD, _ODD_2 = U64(0x9E3779B97F4A7C15), U64(0xD6E8FEB86659FD93)
+#: Places in a word with random values of their own; later places mix their turn into those.
+_PLACES = 64
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
@@ -26,32 +28,14 @@ ALNUM = np.zeros(256, dtype=bool)
 ALNUM[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
 
 
-def _byte_values(fold: bool) -> np.ndarray:
-    values = np.random.default_rng(20240611).integers(1, 2**64, 256, dtype=U64)
+def _place_values(fold: bool) -> np.ndarray:
+    values = np.random.default_rng(20240611).integers(1, 2**64, (_PLACES, 256), dtype=U64)
     if fold:
-        values[0x41:0x5B] = values[0x61:0x7B]
-    return values
+        values[:, 0x41:0x5B] = values[:, 0x61:0x7B]
+    return values.ravel()
 
 
-_VALUES = {fold: _byte_values(fold) for fold in (False, True)}
-
-
-class _Powers:
-    """Powers of an odd base and of its inverse modulo 2**64, extended on demand."""
-
-    def __init__(self, base: int) -> None:
-        self.base, self.inverse = base, pow(base, -1, 1 << 64)
-        self.up = self.down = np.ones(1, dtype=U64)
-
-    def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            size = 1 << max(10, (n - 1).bit_length())
-            self.up = np.concatenate([[U64(1)], np.full(size - 1, self.base, U64)]).cumprod(dtype=U64)
-            self.down = np.concatenate([[U64(1)], np.full(size - 1, self.inverse, U64)]).cumprod(dtype=U64)
-        return self.up[:n], self.down[:n]
-
-
-_BYTE_POWERS, _WORD_POWERS = _Powers(_BYTE_BASE), _Powers(_WORD_BASE)
+_VALUES = {fold: _place_values(fold) for fold in (False, True)}
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -64,6 +48,22 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def byte_sums(data: np.ndarray, starts: np.ndarray, fold: bool = False) -> np.ndarray:
+    """Running sums of the bytes' values by their place after the last of the sorted starts.
+
+    The hash of a span that begins at a start is ``mix`` of the difference between the sums at its end and its start.
+    """
+    edges = np.concatenate([[0], starts, [len(data)]])
+    place = np.arange(len(data)) - np.repeat(edges[:-1], np.diff(edges))
+    values = _VALUES[fold][(place % _PLACES) << 8 | data]
+    far = np.flatnonzero(place >= _PLACES)
+    if len(far):
+        values[far] = mix(values[far] + (place[far] // _PLACES).astype(U64) * _ODD)
+    sums = np.zeros(len(data) + 1, dtype=U64)
+    np.cumsum(values, dtype=U64, out=sums[1:])
+    return sums
+
+
 def slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(index of the first text, bytes, offsets of the texts in them), about ``limit`` bytes at a time; null is empty."""
     if isinstance(texts, pa.ChunkedArray):
@@ -105,22 +105,37 @@ class Words:
         return np.repeat(np.arange(len(self.count)), self.count)
 
     def hashes(self) -> np.ndarray:
-        n = len(self.data)
-        up, down = _BYTE_POWERS.upto(n + 1)
-        sums = np.zeros(n + 1, dtype=U64)
-        np.cumsum(_VALUES[self.fold][self.data] * up[:n], dtype=U64, out=sums[1:])
-        return mix((sums[self.end] - sums[self.start]) * down[self.start])
+        sums = byte_sums(self.data, self.start, self.fold)
+        return mix(sums[self.end] - sums[self.start])
+
+
+def _pair(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """A hash of two neighbours; the order counts."""
+    out = left * _ODD
+    out ^= out >> U64(32)
+    out *= _ODD_2
+    out += right
+    return out
 
 
 def windows(words: np.ndarray, k: int) -> np.ndarray:
-    """Hashes of every k consecutive word hashes; windows that cross texts are the caller's to leave out."""
+    """Hashes of every k consecutive word hashes; windows that cross texts are the caller's to leave out.
+
+    Windows of 1, 2, 4, ... words are paired up, and k is put together from them.
+    """
     n = len(words) - k + 1
     if n <= 0:
         return np.zeros(0, dtype=U64)
-    up, down = _WORD_POWERS.upto(len(words) + 1)
-    sums = np.zeros(len(words) + 1, dtype=U64)
-    np.cumsum(words * up[: len(words)], dtype=U64, out=sums[1:])
-    return mix((sums[k:] - sums[:n]) * down[:n] + U64(k))
+    level, size, out, done = words, 1, None, 0
+    while True:
+        if k & size:
+            part = level[done : done + n]
+            out = part if out is None else _pair(out, part)
+            done += size
+        if done == k:
+            return mix(out + U64(k))
+        level = _pair(level[:-size], level[size:])
+        size *= 2
 
 
 def window_starts(first: np.ndarray, count: np.ndarray, k: int) -> np.ndarray:

@@ -4,6 +4,8 @@ The tokenizer splits a text into pieces by a pattern over letters, numbers, othe
 ids of a piece depend on the piece alone. So the split is done on arrays, each distinct piece goes through the
 ``tokenizers`` library once in a worker, and texts are put together from the pieces' ids. Texts for which the array
 split is not proven equal (other scripts, contractions, the vocabulary's special token) go to the library whole.
+Pieces are found by hash and then compared byte by byte; a text with a piece that only shares its hash goes to the
+library whole too, so ids never depend on the hash.
 """
 
 from __future__ import annotations
@@ -15,10 +17,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-from kinweave.llm._text import _BYTE_POWERS, _VALUES, U64, mix, ranges, slices
+from kinweave.llm._text import U64, byte_sums, mix, ranges, slices
 
-#: A worker forgets the pieces it has learned beyond this many (about 60 MB).
-MOST_PIECES = 2_000_000
+#: A worker forgets the pieces it has learned beyond this many, or beyond this many bytes of them (about 90 MB in all).
+MOST_PIECES, MOST_BYTES = 2_000_000, 32_000_000
 _FAST = 0x530  # below: Latin, Greek, Cyrillic; their character classes are the same in every Unicode version
 # The characters that the tokenizer's pattern takes as white space, and the first letters after ' in it.
 _WHITE = [0x09, 0x0A, 0x0B, 0x0C, 0x0D, 0x20, 0x85, 0xA0]
@@ -83,6 +85,7 @@ class Encoder:
         self.at = np.zeros(0, np.int64)
         self.first, self.count = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.ids = np.zeros(0, np.uint32 if self.wide else np.uint16)
+        self.bytes, self.begin, self.length = np.zeros(0, np.uint8), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -101,29 +104,48 @@ class Encoder:
             self.first = np.append(self.first, len(self.ids) + np.cumsum(count) - count)
             self.count = np.append(self.count, count)
             self.ids = np.append(self.ids, ids)
+            length = end[new] - start[new]
+            self.begin = np.append(self.begin, len(self.bytes) + np.cumsum(length) - length)
+            self.length = np.append(self.length, length)
+            self.bytes = np.append(self.bytes, data[ranges(start[new], length)])
             rows = len(self.count) - len(new) + np.arange(len(new))
             self.at = np.insert(self.at, at[new], rows)
             self.keys = np.insert(self.keys, at[new], keys[new])
             at = np.searchsorted(self.keys, keys)
         return self.at[at]
 
+    def _same(self, rows: np.ndarray, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Whether each span holds the very bytes of its piece."""
+        length = end - start
+        same = length == self.length[rows]
+        at = np.flatnonzero(same)
+        length = length[at]
+        differ = data[ranges(start[at], length)] != self.bytes[ranges(self.begin[rows[at]], length)]
+        if differ.any():
+            sums = np.concatenate([[0], np.cumsum(differ)])
+            until = np.cumsum(length)
+            same[at] = sums[until] == sums[until - length]
+        return same
+
     def encode(self, texts: pa.Array) -> Iterator[np.ndarray]:
         """The ids of each text, in order; null is empty."""
         for _, data, offsets in slices(texts):
             begin, whole = split(data, offsets)
-            n = len(data)
-            up, down = _BYTE_POWERS.upto(n + 1)
-            sums = np.concatenate([[U64(0)], np.cumsum(_VALUES[False][data] * up[:n], dtype=U64)])
-            end = np.append(begin[1:], n)
-            hashes = mix((sums[end] - sums[begin]) * down[begin]) if len(begin) else np.zeros(0, U64)
+            end = np.append(begin[1:], len(data))
+            sums = byte_sums(data, begin)
+            hashes = mix(sums[end] - sums[begin]) if len(begin) else np.zeros(0, U64)
             text = np.searchsorted(offsets, begin, "right") - 1
             if len(whole):
                 fast = ~np.isin(text, whole)
                 begin, end, hashes, text = begin[fast], end[fast], hashes[fast], text[fast]
-            if len(self.keys) > MOST_PIECES:
+            if len(self.keys) > MOST_PIECES or len(self.bytes) > MOST_BYTES:
                 self._forget()
             keys, where, inverse = np.unique(hashes, return_index=True, return_inverse=True)
             rows = self._places(keys, data, begin[where], end[where])[inverse] if len(keys) else np.zeros(0, np.int64)
+            if len(rows):
+                apart = text[~self._same(rows, data, begin, end)]
+                if len(apart):
+                    whole = np.union1d(whole, apart)
             ids = self.ids[ranges(self.first[rows], self.count[rows])] if len(rows) else self.ids[:0]
             tokens = np.concatenate([[0], np.cumsum(self.count[rows])]) if len(rows) else np.zeros(1, np.int64)
             edges = tokens[np.searchsorted(text, np.arange(len(offsets)))]

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinweave.llm._spark import columns
-from kinweave.llm._text import _BYTE_POWERS, _VALUES, ALNUM, U64, Words, mix, slices
+from kinweave.llm._text import ALNUM, U64, Words, byte_sums, mix, slices
 
 BITS = 20
 #: Words added to a text's length, so that a few words decide little.
@@ -39,15 +39,13 @@ BEGINNINGS = (4, 5, 6, 7, 8, 9)
 
 def _codes(words: Words) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(indexes of words, hashed features): the words themselves, then their beginnings of each length."""
-    n = len(words.data)
-    up, down = _BYTE_POWERS.upto(n + 1)
-    sums = np.concatenate([[U64(0)], np.cumsum(_VALUES[True][words.data] * up[:n], dtype=U64)])
-    base, down = sums[words.start], down[words.start]
-    yield np.arange(len(words.start)), (mix((sums[words.end] - base) * down) >> U64(64 - BITS)).astype(np.int32)
+    sums = byte_sums(words.data, words.start, fold=True)
+    base = sums[words.start]
+    yield np.arange(len(words.start)), (mix(sums[words.end] - base) >> U64(64 - BITS)).astype(np.int32)
     length = words.end - words.start
     for size in BEGINNINGS:
         own = np.flatnonzero(length > size)
-        yield own, (mix((sums[words.start[own] + size] - base[own]) * down[own] + U64(size)) >> U64(64 - BITS)).astype(np.int32)
+        yield own, (mix(sums[words.start[own] + size] - base[own] + U64(size)) >> U64(64 - BITS)).astype(np.int32)
 
 
 def _counts(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:

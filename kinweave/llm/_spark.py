@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a local one only where none is set (tests)."""
+    """The shared folder the cluster names. One of its own is made only in local mode (tests); elsewhere it is an error."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir is not set; it must name a folder that driver and executors share")
         named = tempfile.mkdtemp(prefix="kinweave-checkpoint-")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(named)
@@ -47,9 +50,31 @@ def small_side(df: DataFrame, row_bytes: int = 16, limit: int = BROADCAST_ROWS)
     return F.broadcast(df) if df.count() * row_bytes <= limit * 16 else df
 
 
+def quoted(name: str) -> str:
+    """A column's name as an expression, whatever characters it holds."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def columns(df: DataFrame, *names: str) -> DataFrame:
     """Only the named columns, whatever else the table carries."""
-    return df.select(*[F.col(f"`{n}`") for n in names])
+    return df.select(*[F.col(quoted(n)) for n in names])
+
+
+def row_key(df: DataFrame, id_: str = "doc_id", text: str = "text") -> list[Column]:
+    """Two 64-bit columns, _k1 and _k2, that name a row by its id and text; equal rows share them, and are judged alike.
+
+    The key depends on content alone, so a task that runs again makes the same ones.
+    """
+    own = [F.col(quoted(id_)).isNull(), F.col(quoted(id_)), F.col(quoted(text)).isNull(), F.col(quoted(text))]
+    return [F.xxhash64(F.lit(seed), *own).alias(name) for seed, name in ((1, "_k1"), (2, "_k2"))]
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """The name, with as many underscores after it as it takes to differ from every column of the table."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -5,11 +5,15 @@ risk is prior * R_P(+) + max(0, R_U(-) - prior * R_P(-)): where the corrected pa
 so the model cannot fit U below what the prior allows. The prior is the toxic share of the training labels.
 
 P and U are bounded samples (``most_positive``, ``most_unlabelled`` rows with the smallest hash of their id), drawn from
-training rows only; every document is scored on its whole text.
-
-Contract: held out are rows with crc32(doc_id as text) mod 5 = 0. Labels, lang, source and doc_id are no inputs of a
-score. Null and empty texts get the score of the intercept. Without a positive label every score is 0. Labels of
-unknown documents and null labels are ignored, repeated equal labels count once. Extra columns are carried along.
+training rows only; every document is scored on its whole text. Features of the sampled texts stay on the executors:
+the driver gets the ``most_words`` codes that an aggregation selects, and of each sampled row only those codes' counts.
+
+Contract: held out are rows with crc32(doc_id as text) mod 5 = 0; rows without an id are not held out and not learned
+from. Labels, lang, source and doc_id are no inputs of a score. Null and empty texts get the score of the intercept; a
+very long text is counted whole, in training and in scoring. Without a positive label every score is 0. Labels of
+unknown documents and null labels are ignored, repeated equal labels count once; an id with both labels is positive.
+Equal hashes of ids and equal gains of words are settled by the id and the word's code. Repeated rows get equal scores.
+Extra columns are carried along.
 """
 
 from __future__ import annotations
@@ -21,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinweave.llm._spark import columns
+from kinweave.llm._spark import columns, materialize
 from kinweave.llm._text import ALNUM, U64, Words, byte_sums, mix, slices
 
 BITS = 20
@@ -58,43 +62,66 @@ def _counts(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
             yield found, counts.astype(np.int32), n
 
 
-def _sample(docs: DataFrame, labels: DataFrame, most_positive: int, most_unlabelled: int) -> list[tuple[bool, np.ndarray, np.ndarray, int]]:
-    """(positive, codes, their counts, words) of the sampled training texts, positive ones first."""
+def _sample(docs: DataFrame, labels: DataFrame, most_positive: int, most_unlabelled: int) -> DataFrame:
+    """(doc_id, positive, codes, counts, n) of the sampled training texts, written to the checkpoint folder."""
     near = F.xxhash64(F.col("doc_id"), F.lit(17))
     toxic = labels.filter(F.col("toxic") == 1).filter(~held_out()).select("doc_id").distinct()
     known = columns(docs, "doc_id").filter(~held_out())
-    positive = known.join(toxic, "doc_id", "left_semi").orderBy(near, "doc_id").limit(most_positive).select("doc_id", F.lit(True).alias("positive"))
-    unlabelled = known.orderBy(near, "doc_id").limit(most_unlabelled).select("doc_id", F.lit(False).alias("positive"))
-    chosen = positive.union(unlabelled).distinct()  # of a bounded number of rows
+    sides = [(True, known.join(toxic, "doc_id", "left_semi"), most_positive), (False, known, most_unlabelled)]
+    chosen = [own.orderBy(near, "doc_id").limit(most).distinct().withColumn("positive", F.lit(side)) for side, own, most in sides]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(c.tobytes(), np.minimum(k, 255).astype(np.uint8).tobytes(), n) for c, k, n in _counts(batch.column(1))]
+            rows = [(c.tobytes(), k.tobytes(), n) for c, k, n in _counts(batch.column(1))]
             own = [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.binary(), pa.binary(), pa.int64()))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *own], ["doc_id", "positive", "codes", "counts", "n"])
 
-    texts = columns(docs, "doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "positive")
-    rows = texts.mapInArrow(count, "doc_id long, positive boolean, codes binary, counts binary, n long").toArrow()
-    rows = rows.sort_by([("positive", "descending"), ("doc_id", "ascending"), ("codes", "ascending")])
-    return [(p.as_py(), np.frombuffer(c.as_buffer(), np.int32), np.frombuffer(k.as_buffer(), np.uint8), n.as_py()) for p, c, k, n in zip(*(rows[x] for x in ("positive", "codes", "counts", "n")), strict=True)]
+    texts = columns(docs, "doc_id", "text").join(F.broadcast(chosen[0].union(chosen[1])), "doc_id").select("doc_id", "text", "positive")
+    found = materialize(texts.mapInArrow(count, "doc_id long, positive boolean, codes binary, counts binary, n long"))
+    # An id with several rows brings them all; the bounds hold for rows too.
+    kept = [found.filter(F.col("positive") == side).orderBy(near, "doc_id", "codes", "counts").limit(most) for side, _, most in sides]
+    return materialize(kept[0].union(kept[1]))
 
 
-def _select(rows: list[tuple], most: int) -> np.ndarray:
+def _select(rows: DataFrame, most: int) -> list[int]:
     """The codes that set P apart from U best, by the likelihood ratio of the shares of texts that hold them."""
-    shares = []
-    for side in (True, False):
-        seen, texts = np.zeros(1 << BITS, np.int32), 0
-        for row in rows:
-            if row[0] is side:
-                seen[row[1]] += 1  # a text's codes are distinct
-                texts += 1
-        shares.append((seen, texts))
-    (p, np_), (u, nu) = shares
-    a, b = (p + 0.5) / (np_ + 1), (u + 0.5) / (nu + 1)
-    gain = np_ * (a * np.log(a / b) + (1 - a) * np.log((1 - a).clip(1e-9) / (1 - b).clip(1e-9)))
-    gain[p < 3] = 0
-    best = np.argsort(-gain, kind="stable")[:most]
-    return best[gain[best] > 6]  # about the 0.05 % level of a single word
+    texts = {r["positive"]: r["count"] for r in rows.groupBy("positive").count().collect()}
+    p, u = float(texts[True]), float(texts[False])
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            seen: dict[bool, list[np.ndarray]] = {True: [], False: []}
+            for side, codes in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                seen[side].append(np.frombuffer(codes, np.int32))  # a text's codes are distinct
+            for side, own in seen.items():
+                if own:
+                    codes, n = np.unique(np.concatenate(own), return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array([side] * len(codes)), pa.array(codes), pa.array(n.astype(np.int64))], ["positive", "code", "n"])
+
+    held = rows.select("positive", "codes").mapInArrow(spread, "positive boolean, code int, n long").groupBy("code").agg(*[F.coalesce(F.sum(F.when(F.col("positive") == side, F.col("n"))), F.lit(0)).alias(c) for side, c in ((True, "p"), (False, "u"))])
+    a, b = (F.col("p") + 0.5) / (p + 1), (F.col("u") + 0.5) / (u + 1)
+    gain = p * (a * F.log(a / b) + (1 - a) * F.log(F.greatest(1 - a, F.lit(1e-9)) / F.greatest(1 - b, F.lit(1e-9))))
+    best = held.filter("p >= 3").withColumn("gain", gain).filter("gain > 6")  # about the 0.05 % level of a single word
+    return sorted(r["code"] for r in best.orderBy(F.desc("gain"), "code").limit(most).collect())
+
+
+def _matrix(rows: DataFrame, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(features of the sampled rows, whether each is positive), positive rows first, in an order of content."""
+
+    def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for own, counts, n in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4)), strict=True):
+                _, at, to = np.intersect1d(np.frombuffer(own, np.int32), codes, assume_unique=True, return_indices=True)
+                out.append((to.astype(np.int16).tobytes(), (100 * np.frombuffer(counts, np.int32)[at] / (n + SMOOTH)).astype(np.float32).tobytes()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array([r[k] for r in out], pa.binary()) for k in range(2)]], ["doc_id", "positive", "at", "share"])
+
+    got = rows.mapInArrow(reduce, "doc_id long, positive boolean, at binary, share binary").toArrow()
+    got = got.sort_by([("positive", "descending"), ("doc_id", "ascending"), ("at", "ascending"), ("share", "ascending")])
+    x = np.zeros((got.num_rows, len(codes)), np.float32)
+    for i, (at, share) in enumerate(zip(got["at"], got["share"], strict=True)):
+        x[i, np.frombuffer(at.as_buffer(), np.int16)] = np.frombuffer(share.as_buffer(), np.float32)
+    return x, np.array(got["positive"].to_pylist(), dtype=bool)
 
 
 def non_negative_pu(x: np.ndarray, positive: np.ndarray, prior: float, rounds: int = 600, decay: float = 3e-4) -> tuple[np.ndarray, float]:
@@ -120,22 +147,19 @@ def non_negative_pu(x: np.ndarray, positive: np.ndarray, prior: float, rounds: i
     return w, b
 
 
-def train(docs: DataFrame, labels: DataFrame, most_positive: int = 3000, most_unlabelled: int = 6000, most_words: int = 512) -> tuple[np.ndarray, float] | None:
+def train(docs: DataFrame, labels: DataFrame, most_positive: int = 4000, most_unlabelled: int = 8000, most_words: int = 512) -> tuple[np.ndarray, float] | None:
     """Weights of the hashed words and the intercept; None without positive labels."""
-    labels = columns(labels, "doc_id", "toxic")
-    split = labels.filter(F.col("toxic").isNotNull()).filter(~held_out()).agg(F.sum((F.col("toxic") == 1).cast("long")), F.count("*")).first()
-    rows = _sample(docs, labels, most_positive, most_unlabelled) if split[0] else []
-    positive = np.array([r[0] for r in rows], dtype=bool)
-    if not positive.any() or positive.all():
+    labels = columns(labels, "doc_id", "toxic").filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull())
+    ids = labels.filter(~held_out()).groupBy("doc_id").agg(F.max((F.col("toxic") == 1).cast("long")).alias("toxic"))
+    split = ids.agg(F.sum("toxic"), F.count("*")).first()
+    if not split[0]:
+        return None
+    rows = _sample(docs, labels, most_positive, most_unlabelled)
+    if rows.select("positive").distinct().count() < 2:
         return None
     prior = min(max(split[0] / split[1], 1e-4), 0.5)
-    codes = np.sort(_select(rows, most_words))
-    x = np.zeros((len(rows), len(codes)), np.float32)
-    for i, (_, own, counts, n) in enumerate(rows):
-        at = np.minimum(np.searchsorted(codes, own), max(0, len(codes) - 1))
-        hit = codes[at] == own if len(codes) else np.zeros(len(own), dtype=bool)
-        x[i, at[hit]] = 100 * counts[hit].astype(np.float32) / (n + SMOOTH)
-    del rows
+    codes = np.array(_select(rows, most_words), np.int32)
+    x, positive = _matrix(rows, codes)
     w, b = non_negative_pu(x, positive, prior)
     out = np.zeros(1 << BITS, np.float32)
     out[codes] = w

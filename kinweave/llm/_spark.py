@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import re
 import tempfile
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
@@ -60,6 +63,17 @@ def columns(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(quoted(n)) for n in names])
 
 
+def map_arrow(df: DataFrame, read: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType) -> DataFrame:
+    """``df.mapInArrow`` for columns of any name: they go through as numbers, and the result gets the schema's names."""
+    fields = [T.StructField(f"_{i}", f.dataType) for i, f in enumerate(schema.fields)]
+
+    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in read(batches):
+            yield pa.RecordBatch.from_arrays(batch.columns, names=[f.name for f in fields])
+
+    return df.toDF(*[f"_{i}" for i in range(len(df.columns))]).mapInArrow(numbered, T.StructType(fields)).toDF(*schema.names)
+
+
 def row_key(df: DataFrame, id_: str = "doc_id", text: str = "text") -> list[Column]:
     """Two 64-bit columns, _k1 and _k2, that name a row by its id and text; equal rows share them, and are judged alike.
 

@@ -1,200 +1,189 @@
 """Benchmark decontamination by winnowing.
 
 Of each sliding window of hashes of k consecutive words the smallest is kept as a fingerprint, with k and the window
-so chosen that every shared span of ``span`` words (13) holds a common fingerprint. Fingerprints of documents are
-joined to those of the test items; around each hit the spans are extended and held against the items' spans, 64-bit
-hashes of the whole words. Items shorter than ``span`` are one span each and are looked up by their own length.
+so chosen that every shared span of ``span`` words (13) holds a common fingerprint.
 
-The items are the small side: they are sent to the executors in blocks of at most ``BLOCK_WINDOWS`` spans, counted
-before. Larger benchmarks take one pass over the documents for each block, and the passes' hits are put together by document.
+1. Test items give their fingerprints and the 128-bit hashes of their spans, on the executors. Two bit filters of them,
+   sized by their counted number up to a fixed most, are all that is broadcast. An item of fewer words than ``span`` is
+   one span of its own length, and its own fingerprint.
+2. Documents keep the fingerprints that may be an item's, extend each to the spans around it, and of these keep what may
+   be a span of an item. Spans that follow each other are one run; a run is named by the hash of its spans, so that a
+   passage that many documents share is looked up once.
+3. The spans of the distinct runs are joined to the items' spans, the runs to their answers, and a row's hits are put
+   together by a key made of its id and text.
+
+There is one path for every size; only joins of counted small tables are broadcast.
 
 Contract: words are runs of ASCII letters and digits and of all other characters beyond ASCII, A-Z lower-cased. A word
 inside any occurrence of an item's span is hit; a document is contaminated from 5 % of hit words on. Null or wordless
-texts have no hits; null items are no items. Repeated items all count; equal ids of items count once.
+texts have no hits; null items are no items. Repeated items all count; equal ids of items count once; words of items
+without an id are hit, but such items are neither counted nor named. Every row is judged by its own text, with a
+repeated id, without one, and however long it is; equal rows get equal answers. Extra columns are carried along; those
+named like a result give way to it.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-from kinweave.llm._spark import columns
-from kinweave.llm._text import ALNUM, U64, Words, ranges, slices, sliding_min, window_starts, windows
-
-#: Spans of items sent to executors at once: 24 bytes each, so 48 MB.
-BLOCK_WINDOWS = 2_000_000
-
-
-class Fingerprints:
-    """Fingerprints and spans of a block of items; arrays only, as they are sent to every executor."""
-
-    def __init__(self, items: list[tuple[object, str]], span: int, k: int) -> None:
-        self.span, self.k = span, k
-        self.ids = [i for i, _ in items]
-        found: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
-        prints: list[np.ndarray] = []
-        for at, data, offsets in slices(pa.array([t for _, t in items], pa.string())):
-            words = Words(data, offsets, ALNUM, fold=True)
-            hashes = words.hashes()
-            for i, count in enumerate(words.count.tolist()):
-                own = hashes[words.first[i] : words.first[i + 1]]
-                length = min(count, span)
-                if not length:
-                    continue
-                spans = windows(own, length)
-                found.setdefault(length, []).append((spans, np.full(len(spans), at + i)))
-                if length == span:
-                    prints.append(sliding_min(windows(own, k), span - k + 1))
-        self.prints = np.unique(np.concatenate(prints)) if prints else np.zeros(0, U64)
-        self.spans: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
-        for length, parts in found.items():
-            hashes, owner = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-            order = np.lexsort((owner, hashes))
-            hashes, owner = hashes[order], owner[order]
-            first = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]]))
-            self.spans[length] = (hashes[first], np.append(first, len(hashes)), owner)
-
-
-def _within(values: np.ndarray, table: np.ndarray) -> np.ndarray:
-    """For each value its place in the sorted table, -1 if it isn't there."""
-    if not len(table) or not len(values):
-        return np.full(len(values), -1)
-    at = np.minimum(np.searchsorted(table, values), len(table) - 1)
-    return np.where(table[at] == values, at, -1)
-
-
-class _Sieve:
-    """A quick test before the binary search: a bit for each value of the hash's top bits."""
-
-    def __init__(self, table: np.ndarray, bits: int = 20) -> None:
-        self.shift, self.table = U64(64 - bits), table
-        self.hit = np.zeros(1 << bits, dtype=bool)
-        self.hit[table >> self.shift] = True
-
-    def find(self, values: np.ndarray) -> np.ndarray:
-        """Indexes of the values that are in the table."""
-        maybe = np.flatnonzero(self.hit[values >> self.shift])
-        return maybe[_within(values[maybe], self.table) >= 0]
-
-
-def _hits(words: Words, prints: Fingerprints, sieves: dict[int, _Sieve]) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
-    """(word indexes, rows of ``spans[length]``, length): where spans of items begin in a slice."""
-    hashes = words.hashes()
-    for length in prints.spans:
+
+from kinweave.llm._spark import columns, map_arrow, materialize, quoted, row_key, small_side, unused
+from kinweave.llm._text import ALNUM, U64, Words, mix, ranges, slices, sliding_min, window_starts, windows
+
+#: A filter has 16 bits for each counted entry, and 2**MOST_BITS at most (8 MB); beyond, more suspects are joined.
+MOST_BITS = 26
+_SECOND = U64(0x7A3D9E1C5B86F24D)
+RESULTS = ("n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
+def _spans(hashes: np.ndarray, length: int, starts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent 64-bit hashes of the spans of ``length`` words, of all or of those at the starts."""
+    every = slice(None) if starts is None else starts
+    return windows(hashes, length)[every], windows(hashes ^ _SECOND, length)[every]
+
+
+def item_spans(benchmark: DataFrame, span: int, k: int) -> DataFrame:
+    """(length, print, h1, h2, item): the distinct spans of every item, with the fingerprint of each."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names = batch.column(0)
+            for at, data, offsets in slices(batch.column(1)):
+                words = Words(data, offsets, ALNUM, fold=True)
+                hashes = words.hashes()
+                for i, count in enumerate(words.count.tolist()):
+                    length = min(count, span)
+                    if not length:
+                        continue
+                    own = hashes[words.first[i] : words.first[i + 1]]
+                    h1, h2 = _spans(own, length)
+                    prints = sliding_min(windows(own, k), span - k + 1) if length == span else h1
+                    item = pa.array([names[at + i].as_py()] * len(h1), pa.string())
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h1), length, np.int32)), *[pa.array(x.view(np.int64)) for x in (prints, h1, h2)], item], ["length", "print", "h1", "h2", "item"])
+
+    items = benchmark.select(F.col("item_id").cast("string").alias("item"), "text").filter("text IS NOT NULL")
+    return items.mapInArrow(read, "length int, print long, h1 long, h2 long, item string").distinct()
+
+
+def bit_filter(values: DataFrame, column: str) -> np.ndarray:
+    """64-bit words in which a bit is set for the top bits of each value; made by the executors."""
+    entries = values.select(column).distinct().count()
+    bits = min(MOST_BITS, max(16, (16 * entries).bit_length()))
+    place = F.shiftrightunsigned(F.col(column), 64 - bits)
+    words = values.groupBy(F.shiftright(place, 6).cast("int").alias("at")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(F.lit(63).cast("long")).cast("int"))).alias("word"))
+    rows = words.toArrow()
+    out = np.zeros(1 << (bits - 6), U64)
+    out[rows["at"].to_numpy()] = rows["word"].to_numpy().view(U64)
+    return out
+
+
+def _maybe(filter_: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Whether each value's bit is set."""
+    place = values >> U64(64 - 6 - (len(filter_).bit_length() - 1))
+    return (filter_[place >> U64(6)] >> (place & U64(63))) & U64(1) == 1
+
+
+def _suspects(words: Words, hashes: np.ndarray, lengths: list[int], prints: np.ndarray, spans: np.ndarray, span: int, k: int) -> Iterator[tuple[np.ndarray, int]]:
+    """(word indexes at which spans of items may begin, their length) in a slice."""
+    for length in lengths:
         starts = window_starts(words.first, words.count, length)
-        if not len(starts):
-            continue
-        if length == prints.span:
+        if len(starts) and length == span:
             # The smallest k-gram of every span; consecutive spans mostly share it, so it is looked up once a run.
-            least = sliding_min(windows(hashes, prints.k), length - prints.k + 1)[starts]
+            least = sliding_min(windows(hashes, k), span - k + 1)[starts]
             run = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
-            found = sieves[0].find(least[run])
-            if not len(found):
-                continue
+            found = np.flatnonzero(_maybe(prints, least[run]))
             until = np.append(run, len(least))
             starts = starts[ranges(run[found], until[found + 1] - run[found])]
-        spans = windows(hashes, length)[starts]
-        table = prints.spans[length][0]
-        kept = sieves[length].find(spans)
-        if len(kept):
-            yield starts[kept], _within(spans[kept], table), length
-
-
-def _scan(batches: Iterator[pa.RecordBatch], prints: Fingerprints) -> Iterator[tuple[int, Words, np.ndarray, dict[int, set[int]]]]:
-    """(index of the first text, words, hit flag of each word, items of each text) of each slice; batches have text last."""
-    sieves = {0: _Sieve(prints.prints)} | {n: _Sieve(t[0]) for n, t in prints.spans.items()}
+        if len(starts):
+            starts = starts[_maybe(spans, windows(hashes, length)[starts])]
+            if len(starts):
+                yield starts, length
+
+
+_RUNS = "_k1 long, _k2 long, start long, length int, r1 long, r2 long, spans binary"
+
+
+def runs(docs: DataFrame, lengths: list[int], prints: np.ndarray, spans: np.ndarray, span: int, k: int) -> DataFrame:
+    """(_k1, _k2, start, length, r1, r2, spans): runs of spans that may be items', the hashes of their spans packed."""
+    sent = docs.sparkSession.sparkContext.broadcast((prints, spans))
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        prints, spans = sent.value
+        for batch in batches:
+            k1, k2 = (batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 1))
+            for at, data, offsets in slices(batch.column(2)):
+                words = Words(data, offsets, ALNUM, fold=True)
+                hashes = words.hashes()
+                for starts, length in _suspects(words, hashes, lengths, prints, spans, span, k):
+                    h1, h2 = _spans(hashes, length, starts)
+                    text = np.searchsorted(words.first, starts, "right") - 1
+                    first = np.flatnonzero(np.concatenate([[True], (starts[1:] != starts[:-1] + 1) | (text[1:] != text[:-1])]))
+                    n = np.diff(np.append(first, len(starts)))
+                    place = (np.arange(len(starts)) - np.repeat(first, n)).astype(U64)
+                    names = [mix(np.add.reduceat(mix(h + place * U64(0x9E3779B97F4A7C15)), first) + n.astype(U64) + U64(length << 32)).view(np.int64) for h in (h1, h2)]
+                    both = np.stack([h1, h2], 1)
+                    packed = [both[a : a + m].tobytes() for a, m in zip(first.tolist(), n.tolist(), strict=True)]
+                    own = text[first]
+                    yield pa.RecordBatch.from_arrays([pa.array(k1[at + own]), pa.array(k2[at + own]), pa.array(starts[first] - words.first[own]), pa.array(np.full(len(first), length, np.int32)), *map(pa.array, names), pa.array(packed, pa.binary())], [x.split()[0] for x in _RUNS.split(", ")])
+
+    return docs.select(*row_key(docs), "text").mapInArrow(read, _RUNS)
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for at, data, offsets in slices(batch.column(batch.num_columns - 1)):
-            words = Words(data, offsets, ALNUM, fold=True)
-            cover = np.zeros(len(words.start) + 1, np.int64)
-            items: dict[int, set[int]] = {}
-            for starts, rows, length in _hits(words, prints, sieves):
-                np.add.at(cover, starts, 1)
-                np.add.at(cover, starts + length, -1)
-                _, first, owner = prints.spans[length]
-                text = np.searchsorted(words.first, starts, "right") - 1
-                for doc, row in np.unique(np.stack([text, rows], 1), axis=0).tolist():
-                    items.setdefault(doc, set()).update(owner[first[row] : first[row + 1]].tolist())
-            yield batch, at, words, np.cumsum(cover[:-1]) > 0, items
-
-
-def _verdict(items: list[str], n_words: int, n_hit: int) -> tuple:
-    names = sorted(set(items))
-    return n_words, n_hit, len(names), hashlib.sha256(",".join(names).encode()).hexdigest(), n_hit > 0 and 20 * n_hit >= n_words
-
-
-def blocks(benchmark: DataFrame, span: int, limit: int = BLOCK_WINDOWS) -> Iterator[list[tuple[object, str]]]:
-    """The items, in blocks of at most ``limit`` words (a longer item is a block of its own)."""
-    block: list[tuple[object, str]] = []
-    size = 0
-    for item, text in columns(benchmark, "item_id", "text").filter("text IS NOT NULL").toLocalIterator():
-        if block and size + len(text) // 2 > limit:
-            yield block
-            block, size = [], 0
-        block.append((item, text))
-        size += len(text) // 2
-    if block:
-        yield block
-
-
-def contamination(docs: DataFrame, benchmark: DataFrame, span: int = 13, k: int = 8, limit: int = BLOCK_WINDOWS, with_text: bool = False) -> DataFrame:
+        for r1, r2, length, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            h = np.frombuffer(raw, np.int64).reshape(-1, 2)
+            same = lambda x, kind, n=len(h): pa.array(np.full(n, x, kind))
+            yield pa.RecordBatch.from_arrays([same(r1, np.int64), same(r2, np.int64), same(length, np.int32), pa.array(np.arange(len(h))), pa.array(h[:, 0].copy()), pa.array(h[:, 1].copy())], ["r1", "r2", "length", "at", "h1", "h2"])
+
+
+def _covered(intervals: Column) -> Column:
+    """The number of words that intervals (a, b) cover."""
+    start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("to"))
+    step = lambda s, x: F.struct((s["n"] + F.greatest(F.lit(0), x["b"] - F.greatest(x["a"], s["to"]))).alias("n"), F.greatest(s["to"], x["b"]).alias("to"))
+    return F.aggregate(F.array_sort(intervals), start, step)["n"]
+
+
+def hits(docs: DataFrame, benchmark: DataFrame, span: int = 13, k: int = 8) -> DataFrame:
+    """(_k1, _k2, n_hit, n_items, items_sha256) of the rows that hold a span of an item."""
+    docs = columns(docs, "doc_id", "text")
+    spans = materialize(item_spans(benchmark, span, k))
+    lengths = sorted(r["length"] for r in spans.select("length").distinct().collect())  # 1 to span
+    found = materialize(runs(docs, lengths, bit_filter(spans, "print"), bit_filter(spans, "h1"), span, k))
+    distinct = found.groupBy("r1", "r2").agg(F.first("length").alias("length"), F.first("spans").alias("spans"))
+    asked = distinct.select("r1", "r2", "length", "spans").mapInArrow(_unpacked, "r1 long, r2 long, length int, at long, h1 long, h2 long")
+    named = spans.groupBy("length", "h1", "h2").agg(F.collect_set("item").alias("items"))
+    told = asked.join(named, ["length", "h1", "h2"]).groupBy("r1", "r2").agg(F.collect_list(F.struct(F.col("at").alias("a"), (F.col("at") + F.col("length")).alias("b"))).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
+    met = found.drop("spans", "length").join(materialize(told), ["r1", "r2"])
+    # A span's place in its run, then in its text.
+    placed = met.withColumn("spans", F.transform("spans", lambda x: F.struct((x["a"] + F.col("start")).alias("a"), (x["b"] + F.col("start")).alias("b"))))
+    judged = placed.groupBy("_k1", "_k2").agg(_covered(F.flatten(F.collect_list("spans"))).alias("n_hit"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    return judged.select("_k1", "_k2", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"))
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, span: int = 13, k: int = 8, with_text: bool = False) -> DataFrame:
     """The columns of ``docs`` (text only if asked for) with n_words, n_hit, n_items, items_sha256 and contaminated."""
-    spark = docs.sparkSession
-    other = [c for c in docs.columns if c not in ("text", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")]
+    other = [c for c in docs.columns if c not in ("text", *RESULTS)]
+    carried = [*other, "text"] if with_text else other
     docs = columns(docs, *other, "text")
-    carried = docs if with_text else docs.drop("text")
-    schema = T.StructType(list(carried.schema.fields)).add("n_words", "long").add("n_hit", "long").add("n_items", "long").add("items_sha256", "string").add("contaminated", "boolean")
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_()]
-    parts = [spark.sparkContext.broadcast(Fingerprints(b, span, k)) for b in blocks(benchmark, span, limit)] or [spark.sparkContext.broadcast(Fingerprints([], span, k))]
-    if len(parts) == 1:
-        return docs.mapInArrow(lambda b: _judge(b, parts[0].value, schema.names, kinds), schema)
-    # One pass for each block; a document's hits of all passes meet by its id, as intervals of words.
-    hits = None
-    for part in parts:
-        rows = columns(docs, "doc_id", "text").mapInArrow(lambda b, part=part: _intervals(b, part.value), "_id long, _n long, _hit array<struct<a:long,b:long>>, _items array<string>")
-        hits = rows if hits is None else hits.union(rows)
-    merged = hits.groupBy("_id").agg(F.max("_n").alias("_n"), F.flatten(F.collect_list("_hit")).alias("_hit"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("_items")))).alias("_items"))
-    # Sorted intervals, folded to the count of words that they cover.
-    covered = F.aggregate(F.array_sort("_hit"), F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("to")), lambda s, x: F.struct((s["n"] + F.greatest(F.lit(0), x["b"] - F.greatest(x["a"], s["to"]))).alias("n"), F.greatest(s["to"], x["b"]).alias("to")))["n"]
-    judged = merged.select("_id", F.col("_n").alias("n_words"), covered.alias("n_hit"), F.size("_items").cast("long").alias("n_items"), F.sha2(F.array_join("_items", ","), 256).alias("items_sha256"))
-    judged = judged.withColumn("contaminated", F.expr("n_hit > 0 AND 20 * n_hit >= n_words"))
-    return carried.join(judged, docs["doc_id"].eqNullSafe(judged["_id"])).select(*schema.names)
-
-
-def _judge(batches: Iterator[pa.RecordBatch], prints: Fingerprints, names: list[str], kinds: list[pa.DataType]) -> Iterator[pa.RecordBatch]:
-    last, rows = None, []
-
-    def done() -> pa.RecordBatch:
-        new = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)]
-        return pa.RecordBatch.from_arrays([*last.columns[: len(names) - len(new)], *new], names=names)
-
-    for batch, _, words, hit, items in _scan(batches, prints):
-        if last is not None and batch is not last:
-            yield done()
-            rows = []
-        last = batch
-        sums = np.concatenate([[0], np.cumsum(hit)])
-        n_hit = sums[words.first[1:]] - sums[words.first[:-1]]
-        rows += [_verdict([str(prints.ids[i]) for i in items.get(d, ())], n, h) for d, (n, h) in enumerate(zip(words.count.tolist(), n_hit.tolist(), strict=True))]
-    if rows:
-        yield done()
-
-
-def _intervals(batches: Iterator[pa.RecordBatch], prints: Fingerprints) -> Iterator[pa.RecordBatch]:
-    for batch, at, words, hit, items in _scan(batches, prints):
-        step = np.diff(np.concatenate([[0], hit.astype(np.int8), [0]]))
-        begin, end = np.flatnonzero(step > 0), np.flatnonzero(step < 0)
-        rows = []
-        for d, doc_id in enumerate(batch.column(0).slice(at, len(words.count)).to_pylist()):
-            first, until = int(words.first[d]), int(words.first[d + 1])
-            a, b = np.searchsorted(end, first, "right"), np.searchsorted(begin, until)
-            own = [{"a": max(int(x), first) - first, "b": min(int(y), until) - first} for x, y in zip(begin[a:b], end[a:b], strict=True)]
-            rows.append((doc_id, until - first, own, sorted({str(prints.ids[i]) for i in items.get(d, ())})))
-        kinds = [pa.int64(), pa.int64(), pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())])), pa.list_(pa.string())]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["_id", "_n", "_hit", "_items"])
+    names = [unused(docs, n) for n in ("_k1", "_k2")]
+    keyed = docs.select("*", *[c.alias(n) for c, n in zip(row_key(docs), names, strict=True)])
+    kept = [*carried, *names]
+    schema = columns(keyed, *kept).schema.add("n_words", "long")
+    places = [keyed.columns.index(c) for c in kept]
+    text = keyed.columns.index("text")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = [Words(data, offsets, ALNUM).count for _, data, offsets in slices(batch.column(text))]
+            yield pa.RecordBatch.from_arrays([*[batch.column(p) for p in places], pa.array(np.concatenate([np.zeros(0, np.int64), *n]).astype(np.int64))], names=schema.names)
+
+    found = materialize(hits(docs, benchmark, span, k).toDF(*names, "n_hit", "n_items", "items_sha256"))
+    joined = map_arrow(keyed, count, schema).join(small_side(found, row_bytes=128), names, "left")
+    none = F.sha2(F.lit(""), 256)
+    n_hit, n_words = F.coalesce(F.col("n_hit"), F.lit(0)), F.col("n_words")
+    return joined.select(*[F.col(quoted(c)) for c in carried], n_words, n_hit.alias("n_hit"), F.coalesce("n_items", F.lit(0).cast("long")).alias("n_items"), F.coalesce("items_sha256", none).alias("items_sha256"), ((n_hit > 0) & (20 * n_hit >= n_words)).alias("contaminated"))

@@ -147,16 +147,32 @@ def test_paths_are_compacted(spark):
     assert {(r["path_doc"], r["path_start"]) for r in spans} == {(0, 3)}
 
 
-@pytest.mark.parametrize("limit", [2_000_000, 40])
-def test_contamination(spark, docs, limit):
+def test_contamination(spark, docs):
     rng = random.Random(5)
-    items = [(0, " ".join((docs[4][1] or "").split()[2:40])), (1, " ".join((docs[10][1] or "").split()[:20])), (2, "short"), (3, None), (4, ""), (5, " ".join(rng.choice(WORDS) for _ in range(30))), (6, "gamma7 to9 of")]
+    items = [(0, " ".join((docs[4][1] or "").split()[2:40])), (1, " ".join((docs[10][1] or "").split()[:20])), (2, "short"), (3, None), (4, ""), (5, " ".join(rng.choice(WORDS) for _ in range(30))), (6, "gamma7 to9 of"), (0, "Short")]
     bench = spark.createDataFrame(items, "item_id long, text string")
-    got = rows_of(decontaminate.contamination(frame(spark, docs), bench, limit=limit), "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+    got = rows_of(decontaminate.contamination(frame(spark, docs), bench), "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
     assert got == brute.contamination(docs, items)
     assert any(v[-1] for v in got.values())
 
 
+@pytest.mark.parametrize("bits", [26, 6])
+def test_every_row_is_judged_by_its_own_text(spark, monkeypatch, bits):
+    """Repeated ids, null ids and equal rows, with filters of any size and with every join shuffled."""
+    monkeypatch.setattr(decontaminate, "MOST_BITS", bits)
+    monkeypatch.setattr(decontaminate, "small_side", lambda df, row_bytes: df)
+    rows = [(1, "one two three x y z"), (1, "nothing at all here"), (None, "one two three"), (None, "clean text"), (2, "one two three one two three"), (2, "one two three one two three")]
+    bench = spark.createDataFrame([(7, "one two three"), (None, "x y")], "item_id long, text string")
+    names = ["_k1", "_k2", "r1", "start", "spans", "items", "n_hit", "a`b", "_K1_"]
+    wide = spark.createDataFrame(rows, "doc_id long, text string")
+    for n in names:
+        wide = wide.withColumn(n, F.lit("extra"))
+    out = decontaminate.contamination(wide, bench, with_text=True)
+    got = sorted((str(r["doc_id"]), r["text"], r["n_hit"], r["n_items"], r["contaminated"]) for r in out.collect())
+    assert got == sorted([("1", rows[0][1], 5, 1, True), ("1", rows[1][1], 0, 0, False), ("None", rows[2][1], 3, 1, True), ("None", rows[3][1], 0, 0, False), ("2", rows[4][1], 6, 1, True), ("2", rows[4][1], 6, 1, True)])
+    assert {r["a`b"] for r in out.collect()} == {"extra"} and {"_k1", "_K1_", "spans"} <= set(out.columns)
+
+
 def test_packed_rows_give_back_every_id(spark, docs):
     rows = token_output.packed_rows(frame(spark, docs), vocabulary(), length=256, buffer=3000).toArrow()
     parts = {}

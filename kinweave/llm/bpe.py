@@ -19,8 +19,10 @@ import pyarrow as pa
 
 from kinweave.llm._text import U64, byte_sums, mix, ranges, slices
 
-#: A worker forgets the pieces it has learned beyond this many, or beyond this many bytes of them (about 90 MB in all).
-MOST_PIECES, MOST_BYTES = 2_000_000, 32_000_000
+#: A worker forgets the pieces it has learned beyond this many, or beyond this many bytes of them (about 50 MB in all).
+MOST_PIECES, MOST_BYTES = 1_000_000, 16_000_000
+#: Pieces given to the library at once.
+AT_ONCE = 8192
 _FAST = 0x530  # below: Latin, Greek, Cyrillic; their character classes are the same in every Unicode version
 # The characters that the tokenizer's pattern takes as white space, and the first letters after ' in it.
 _WHITE = [0x09, 0x0A, 0x0B, 0x0C, 0x0D, 0x20, 0x85, 0xA0]
@@ -82,14 +84,18 @@ class Encoder:
 
     def _forget(self) -> None:
         self.keys = np.zeros(0, U64)
-        self.at = np.zeros(0, np.int64)
-        self.first, self.count = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.at = np.zeros(0, np.int32)
+        self.first, self.count = np.zeros(0, np.int32), np.zeros(0, np.int32)
         self.ids = np.zeros(0, np.uint32 if self.wide else np.uint16)
-        self.bytes, self.begin, self.length = np.zeros(0, np.uint8), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.bytes, self.begin, self.length = np.zeros(0, np.uint8), np.zeros(0, np.int32), np.zeros(0, np.int32)
 
     def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        return np.fromiter((len(x) for x in found), np.int64, len(found)), np.array([i for x in found for i in x], self.ids.dtype)
+        count, ids = [], []
+        for at in range(0, len(texts), AT_ONCE):
+            found = [e.ids for e in self.tokenizer.encode_batch_fast(texts[at : at + AT_ONCE], add_special_tokens=False)]
+            count += [len(x) for x in found]
+            ids.append(np.array([i for x in found for i in x], self.ids.dtype))
+        return np.array(count, np.int32), np.concatenate(ids) if ids else self.ids[:0]
 
     def _places(self, keys: np.ndarray, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Rows of first and count for distinct sorted piece hashes; spans tell where each is found."""
@@ -101,14 +107,14 @@ class Encoder:
         if len(new):
             raw = data.tobytes()
             count, ids = self._encode([raw[a:b].decode() for a, b in zip(start[new].tolist(), end[new].tolist(), strict=True)])
-            self.first = np.append(self.first, len(self.ids) + np.cumsum(count) - count)
+            self.first = np.append(self.first, (len(self.ids) + np.cumsum(count) - count).astype(np.int32))
             self.count = np.append(self.count, count)
             self.ids = np.append(self.ids, ids)
-            length = end[new] - start[new]
-            self.begin = np.append(self.begin, len(self.bytes) + np.cumsum(length) - length)
+            length = (end[new] - start[new]).astype(np.int32)
+            self.begin = np.append(self.begin, (len(self.bytes) + np.cumsum(length) - length).astype(np.int32))
             self.length = np.append(self.length, length)
             self.bytes = np.append(self.bytes, data[ranges(start[new], length)])
-            rows = len(self.count) - len(new) + np.arange(len(new))
+            rows = (len(self.count) - len(new) + np.arange(len(new))).astype(np.int32)
             self.at = np.insert(self.at, at[new], rows)
             self.keys = np.insert(self.keys, at[new], keys[new])
             at = np.searchsorted(self.keys, keys)

@@ -155,8 +155,18 @@ def test_paths_are_compacted(spark):
     passage = [f"p{i}" for i in range(300)]
     rows = [(i, " ".join([f"a{rng.random()}" for _ in range(i + 3)] + passage)) for i in range(4)]
     spans = substring_dedup.repeated_spans(frame(spark, rows)).collect()
-    assert sorted((r["doc_id"], r["start"], r["words"]) for r in spans) == [(i, i + 3, 300) for i in range(4)]
-    assert {(r["path_doc"], r["path_start"]) for r in spans} == {(0, 3)}
+    assert sorted((r["start"], r["words"]) for r in spans) == [(i + 3, 300) for i in range(4)]
+    assert len({(r["path_k1"], r["path_k2"], r["path_start"]) for r in spans}) == 1
+
+
+def test_passages_of_rows_with_repeated_and_missing_ids(spark):
+    passage = " ".join(f"p{i}" for i in range(40))
+    rows = [(1, "a " + passage), (1, "quite short"), (None, passage + " b c"), (None, "d e"), (2, "f"), (3, "g " * 30 + passage), (3, "g " * 30 + passage)]
+    wide = spark.createDataFrame(rows, "doc_id long, text string")
+    for n in ("_k1", "_k2", "_spans", "start", "words", "a.b", "a`b"):
+        wide = wide.withColumn(n, F.lit("extra"))
+    got = sorted((str(r["doc_id"]), r["text"], r["n_words"], r["n_removed"], r["a.b"], r["a`b"]) for r in substring_dedup.dedup_passages(wide).collect())
+    assert got == sorted((a, b, c, d, "extra", "extra") for a, b, c, d in [("1", "a", 41, 40), ("1", "quite short", 2, 0), ("None", "b c", 42, 40), ("None", "d e", 2, 0), ("2", "f", 1, 0), ("3", "", 70, 70), ("3", "", 70, 70)])
 
 
 def test_contamination(spark, docs):

@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from kinweave.llm._spark import columns
+from kinweave.llm._spark import columns, map_arrow
 
 # Names of HTML elements by how they are treated.
 _SILENT = "script|style|title|noscript|template|svg|math|iframe|object|select|button|textarea|canvas|audio|video"
@@ -221,4 +221,4 @@ def extract(pages: DataFrame) -> DataFrame:
                 texts = [main_text(h) for h in part.column(part.num_columns - 1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=schema.names)
 
-    return pages.mapInArrow(read, schema)
+    return map_arrow(pages, read, schema)

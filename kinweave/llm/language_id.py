@@ -2,12 +2,15 @@
 
 A language's model are smoothed frequencies of hashed byte trigrams within words, counted over all training rows. A
 word's likelihood under each language is the product over its trigrams; expectation-maximisation finds each text's
-language shares. Its language set is chosen by penalised likelihood: the best single language, and the best two or
-three only if their fit gains more than the penalty for each further share (BIC). The prediction is the largest share.
+language shares. Its language set is chosen by penalised likelihood: the best single language, then one language more as
+long as the fit gains more than the penalty for a further share (BIC). The prediction is the largest share.
+
+The model is languages x 2**15 numbers; above ``MOST_LANGS`` distinct values of lang training is refused with an error.
 
 Contract: held out are rows with crc32(doc_id as text) mod 5 = 0; models come from text and non-null lang of the other
 rows only. Null texts and texts without a letter are ``und`` with score 0. Without any model every text is ``und``.
-Ties go to the first language in code-point order. Extra columns are carried along, rows are never dropped.
+Ties go to the first language in code-point order. Texts of any length are read whole, in slices. Extra columns are
+carried along, rows are never dropped; repeated rows and ids get each their own text's answer.
 """
 
 from __future__ import annotations
@@ -19,11 +22,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinweave.llm._spark import columns
+from kinweave.llm._spark import columns, map_arrow, materialize
 from kinweave.llm._text import Words, slices
 from kinweave.llm.toxicity import held_out
 
 BITS = 15
+#: Distinct languages that a model may have: 64 MB on the executors.
+MOST_LANGS = 512
 #: Bytes of words: letters, A-Z folded, and every byte of a multi-byte character.
 LETTERS = np.zeros(256, dtype=bool)
 LETTERS[[*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
@@ -85,7 +90,11 @@ def trigram_counts(docs: DataFrame) -> DataFrame:
 
 def train(docs: DataFrame) -> tuple[list[str], np.ndarray]:
     """The languages and their log-likelihoods of each code; bounded by languages x 2**BITS numbers."""
-    rows = trigram_counts(docs).toPandas()
+    counted = materialize(trigram_counts(docs))
+    found = counted.select("lang").distinct().limit(MOST_LANGS + 1).count()
+    if found > MOST_LANGS:
+        raise ValueError(f"lang has more than {MOST_LANGS} distinct values")
+    rows = counted.toPandas()
     langs = sorted(rows["lang"].unique())
     counts = np.zeros((len(langs), 1 << BITS))
     counts[np.searchsorted(np.array(langs, dtype=object), rows["lang"].to_numpy()) if langs else [], rows["code"]] = rows["n"]
@@ -113,7 +122,7 @@ def _shares(own: np.ndarray, edges: np.ndarray, allowed: np.ndarray, rounds: int
     return shares, sums[edges[1:]] - sums[edges[:-1]]
 
 
-def mixtures(words: Words, likelihood: np.ndarray, most: int = 3) -> np.ndarray:
+def mixtures(words: Words, likelihood: np.ndarray) -> np.ndarray:
     """The language shares of each text of a slice, over the set that the penalised likelihood selects."""
     codes, first = _trigrams(words)
     langs = len(likelihood)
@@ -136,7 +145,7 @@ def mixtures(words: Words, likelihood: np.ndarray, most: int = 3) -> np.ndarray:
     order = np.argsort(-full, 1, kind="stable")
     penalty = 0.5 * np.log(np.maximum(words.count, 2))
     mixed = np.flatnonzero(np.sort(full, 1)[:, -2] > 0.02)
-    for size in range(2, min(most, langs) + 1):
+    for size in range(2, langs + 1):
         if not len(mixed):
             break
         n = words.count[mixed]
@@ -144,8 +153,9 @@ def mixtures(words: Words, likelihood: np.ndarray, most: int = 3) -> np.ndarray:
         allowed = np.zeros((len(mixed), langs))
         np.put_along_axis(allowed, order[mixed, :size], 1.0, 1)
         own_shares, fit = _shares(own[rows], np.concatenate([[0], np.cumsum(n)]), allowed)
-        better = fit - 2 * penalty[mixed] > score[mixed]  # a share and the choice of its language
-        score[mixed[better]] = fit[better] - 2 * penalty[mixed[better]]
+        fit -= 2 * (size - 1) * penalty[mixed]  # for each further language its share and its choice
+        better = fit > score[mixed]
+        score[mixed[better]] = fit[better]
         shares[mixed[better]] = own_shares[better]
         mixed = mixed[better]
     return shares
@@ -179,5 +189,5 @@ def predict(docs: DataFrame) -> DataFrame:
                     named[i], score[i] = "und", 0.0
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(named, pa.string()), pa.array(np.clip(score, 0.0, 1.0), pa.float64())], names=schema.names)
 
-    rated = columns(docs, *other, "text").mapInArrow(rate, schema)
+    rated = map_arrow(columns(docs, *other, "text"), rate, schema)
     return rated.withColumn("held_out", F.coalesce(held_out(), F.lit(False))) if "doc_id" in other else rated

@@ -10,7 +10,9 @@ they are made for the share of false suspects rises, which costs shuffle but cha
 
 Contract: lines are split at ``\\n``; a line's key has ASCII white space stripped and A-Z lower-cased; keys of fewer
 than ``min_chars`` code points always stay. Null or empty text is one empty line. Repeated lines within one document
-are not repeats. A repeated id counts as one document and each of its rows is treated alike. Extra columns are left alone.
+are not repeats. A repeated id counts as one document and each of its rows is treated alike; the smallest id keeps a line,
+so there is no tie to settle. Rows without an id neither make repeats nor lose lines. Every text is worked on whole,
+one at a time, however long. Extra columns are left alone; those named like a result give way to it.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinweave.llm._spark import columns, deal, materialize, part_bits
+from kinweave.llm._spark import columns, deal, map_arrow, materialize, part_bits, unused
 from kinweave.llm._text import U64, by_part, mix
 
 _WHITE = b" \t\n\r\x0b\x0c"
@@ -70,7 +72,7 @@ def _set(filter_: np.ndarray, bits: np.ndarray) -> None:
 
 def twice_seen_filter(docs: DataFrame, filter_bits: int, min_chars: int) -> bytes:
     """The bits of lines that may be in two documents; at most 2**filter_bits bits come to the driver."""
-    bits = min(part_bits(docs.sparkSession), 12)
+    bits = min(part_bits(docs.sparkSession), 16, filter_bits - 3)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -135,9 +137,11 @@ def dedup_lines(docs: DataFrame, filter_bits: int = 28, min_chars: int = 10, wit
     ``with_text=False`` returns the digest columns without the texts.
     """
     drops = repeated_lines(docs, filter_bits, min_chars).groupBy("doc_id").agg(F.collect_set(F.struct("k1", "k2")).alias("_drop"))
-    other = [c for c in docs.columns if c not in ("text", "n_lines", "n_dropped", "kept_sha256", "_drop")]
-    joined = docs.select(*[F.col(f"`{c}`") for c in other], "text").join(drops, "doc_id", "left")
-    schema = docs.select(*[F.col(f"`{c}`") for c in other]).schema
+    other = [c for c in docs.columns if c not in ("text", "n_lines", "n_dropped", "kept_sha256")]
+    docs = columns(docs, *other, "text")
+    name = unused(docs, "_drop")
+    joined = columns(docs.join(drops.toDF("doc_id", name), "doc_id", "left"), *other, "text", name)
+    schema = columns(docs, *other).schema
     schema = (schema.add("text", "string") if with_text else schema).add("n_lines", "long").add("n_dropped", "long").add("kept_sha256", "string")
 
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,4 +166,4 @@ def dedup_lines(docs: DataFrame, filter_bits: int = 28, min_chars: int = 10, wit
             new = [pa.array(kept, pa.binary()).cast(pa.string()), *new] if with_text else new
             yield pa.RecordBatch.from_arrays([*batch.columns[:-2], *new], names=schema.names)
 
-    return joined.mapInArrow(rewrite, schema)
+    return map_arrow(joined, rewrite, schema)

@@ -10,7 +10,10 @@ the whole texts of all rows.
 
 Contract: words are runs of non-space ASCII bytes. A text fails the base rules with fewer than 20 words or with more
 than 30 % of its words in repeated 8-word windows; null and empty texts have no words and fail. Without usable labels
-no rule is learned and the base rules decide alone. Repeated rows and extra columns stay as they are.
+no rule is learned and the base rules decide alone. An id with both labels counts as low; null labels and labels of
+unknown documents are ignored. Rows of one id are measured each by its own text, and of those only one is learned from.
+Of conditions with equal gain the first feature, then "at most", then the smallest threshold wins. Texts of any length
+are counted whole. Repeated rows and extra columns stay as they are; columns named like a result give way to it.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinweave.llm._spark import columns, materialize
+from kinweave.llm._spark import columns, map_arrow, materialize, quoted
 from kinweave.llm._text import NON_SPACE, Words, code_points, slices, window_starts, windows
 
 # The characters counted as symbols.
@@ -102,7 +105,7 @@ def statistics(docs: DataFrame, width: int = 8) -> DataFrame:
             rows = np.concatenate(found).astype(np.int64) if found else np.zeros((0, len(COUNTS)), np.int64)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *[pa.array(rows[:, k].copy()) for k in range(len(COUNTS))]], names=schema.names)
 
-    return docs.mapInArrow(measure, schema)
+    return map_arrow(docs, measure, schema)
 
 
 def _gain(p: np.ndarray, n: np.ndarray, p0: float, n0: float) -> np.ndarray:
@@ -178,7 +181,9 @@ def train(stats: DataFrame, labels: DataFrame, most_rows: int = 20_000) -> list[
     """Rules from the labelled rows of ``stats`` (doc_id and COUNTS)."""
     known = columns(labels, "doc_id", "quality").filter("quality IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     near = F.xxhash64(F.col("doc_id"), F.lit(29))
-    rows = stats.join(known, "doc_id").select("doc_id", "quality", *[F.expr(e).cast("double").alias(f) for f, e in FEATURES.items()]).orderBy(near, "doc_id").limit(most_rows).toPandas()
+    measured = columns(stats, "doc_id", *COUNTS)
+    rows = measured.join(known, "doc_id").groupBy("doc_id", "quality").agg(F.min(F.struct(*COUNTS)).alias("own")).select("doc_id", "quality", "own.*")
+    rows = rows.select("doc_id", "quality", *[F.expr(e).cast("double").alias(f) for f, e in FEATURES.items()]).orderBy(near, "doc_id").limit(most_rows).toPandas()
     return decision_list(rows[list(FEATURES)].to_numpy(float), (rows["quality"] == 0).to_numpy()) if len(rows) else []
 
 
@@ -202,7 +207,7 @@ def describe(rules: list[list[tuple[int, bool, float]]]) -> list[str]:
 
 def judge(docs: DataFrame, labels: DataFrame, most_rows: int = 20_000) -> DataFrame:
     """The columns of ``docs`` but text, with the counts, base_failed and kept."""
-    stats = materialize(statistics(docs))
+    stats = materialize(statistics(docs.select(*[F.col(quoted(c)) for c in docs.columns if c not in ("base_failed", "kept")])))
     rules = train(stats, labels, most_rows)
     failed = F.expr("n_words < 20 OR 100 * n_repeat_words > 30 * n_words")
     return stats.withColumn("base_failed", failed).withColumn("kept", ~failed & verdict(rules))

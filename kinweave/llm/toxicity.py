@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinweave.llm._spark import columns, materialize
+from kinweave.llm._spark import columns, map_arrow, materialize
 from kinweave.llm._text import ALNUM, U64, Words, byte_sums, mix, slices
 
 BITS = 20
@@ -190,5 +190,5 @@ def scores(docs: DataFrame, labels: DataFrame, **bounds: int) -> DataFrame:
             score = np.concatenate(out)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score), pa.array((score >= 0.5).astype(np.int32))], names=schema.names)
 
-    rated = columns(docs, *other, "text").mapInArrow(rate, schema)
+    rated = map_arrow(columns(docs, *other, "text"), rate, schema)
     return rated.withColumn("held_out", F.coalesce(held_out(), F.lit(False))) if "doc_id" in other else rated

@@ -56,10 +56,11 @@ class Capacities:
         return -1
 
 
-def best_fit_decreasing(counts: dict[int, int], capacity: int) -> dict[tuple[int, ...], int]:
+def best_fit_decreasing(counts: dict[int, int], capacity: int, begun: dict[tuple[int, ...], int] | None = None) -> dict[tuple[int, ...], int]:
     """Patterns of piece lengths and how many rows have each, for so many pieces of each length.
 
-    Equal pieces and equal rows are moved together, so the work follows the distinct lengths, not the pieces.
+    Equal pieces and equal rows are moved together, so the work follows the distinct lengths, not the pieces. Rows that
+    are already ``begun`` are filled like those that it opens, and are part of the answer.
     """
     tree = Capacities(capacity)
     rows: dict[int, dict[tuple[int, ...], int]] = defaultdict(dict)
@@ -69,6 +70,8 @@ def best_fit_decreasing(counts: dict[int, int], capacity: int) -> dict[tuple[int
             rows[free][pattern] = rows[free].get(pattern, 0) + many
             tree.add(free, many)
 
+    for pattern, many in (begun or {}).items():
+        put(pattern, capacity - sum(pattern), many)
     for length in sorted(counts, reverse=True):
         left = counts[length]
         while left:

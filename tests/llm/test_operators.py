@@ -255,6 +255,31 @@ def test_plans_hold_every_piece(counts):
     assert sum(token_output.best_fit_decreasing(counts, 40).values()) == plain
 
 
+def test_patterns_place_most_pieces():
+    rng = np.random.default_rng(7)
+    lengths = np.clip(rng.lognormal(6.3, 0.8, 8000).astype(int), 1, 2048)
+    counts = {int(n): int(c) for n, c in zip(*np.unique(lengths, return_counts=True), strict=True)}
+    placed, left = pattern_packing.fitted(counts, 2048)
+    several = sum(len(p) * n for p, n in placed.items() if len(p) > 1)
+    assert several > 4000 and all(sum(p) <= 2048 for p in placed)
+    held = dict(counts)
+    for p, many in placed.items():
+        for n in p:
+            held[n] -= many
+    assert {n: c for n, c in held.items() if c} == {int(n): int(left[n]) for n in np.flatnonzero(left)}
+    planned = pattern_packing.plan(counts, 2048)
+    assert sum(planned.values()) <= -(-int(lengths.sum()) // 2048) + 4
+    assert sum(len(p) * min(n, placed.get(p, 0)) for p, n in planned.items() if len(p) > 1) > 4000
+
+
+def test_active_set_solves_the_fit():
+    rng = np.random.default_rng(2)
+    rows, x = rng.integers(0, 3, (40, 6)), np.zeros(40)
+    x[[3, 7, 20]] = (5, 2, 9)
+    found = pattern_packing.non_negative_fit(rows, x @ rows, np.zeros(40), np.ones(6))
+    assert (found >= 0).all() and (found > 0).sum() <= 6 and found @ rows == pytest.approx(x @ rows, abs=1e-3)
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.lists(st.sampled_from(["a", "Be", "é", "1", "٣", " ", "  ", "\n", "\t", " ", "\u0085", "'s", "'", "'ll", "<|endoftext|>", "<", "!", "—", "漢", "😀", "ß", "\r\n", "_", "²", "\x1c"]), max_size=14))
 def test_ids_are_those_of_the_tokenizer(parts):

@@ -1,14 +1,21 @@
 """HTML extraction: a page's main text, block by block.
 
-A page is cut into flat text blocks at block-level tags. Each block has its number of words and its link density (the
-share of words inside links), the same of the blocks before and after it, and where it stands: in a part that its tags
-or class names mark as menu, header, footer, sidebar, notice, advert, form or comments, in a part marked as article, or in
-neither. A decision tree trained on the small labelled table below classifies the blocks; the chosen ones are joined.
+1. Markup. A page is cut into flat text blocks at block-level tags. Scripts, styles and other contents that are no text
+   are skipped, and blocks inside a part that its tags or class names declare to be a menu, header, footer, sidebar, notice,
+   advert, form or comments are no candidates; no text statistics could tell a reader's comment from a paragraph.
+2. Classification. Every other block has its number of words and its link density (the share of words inside links), the
+   same of the blocks before and after it, and whether it is a heading, a list item, or inside an article element. A
+   decision tree trained on the small labelled table below decides on these; the chosen blocks are joined.
+
+A part is declared by the words of its class, id and role, split at spaces, hyphens, underscores and humps: one word that
+names an aside decides (``comment-body``, ``main-menu``), whatever else is there; words after has, with, no, without, hide
+or show say nothing about the part itself.
 
 Contract: null and empty pages give empty text, with no blocks. Character references are decoded, white space in a
 block becomes one space, blocks are joined by one space in page order. Broken markup (open comments, scripts, quotes or
-tags) never fails: an open script or comment runs to the end of the page. Every row is returned with its other columns;
-nothing is cut or capped.
+tags) never fails: an open script or comment runs to the end of the page. Elements of other names, custom ones too, are
+blocks without a meaning of their own. Pages are read whole, however long; every row is returned, repeated ones too, each judged by its own html.
+Other columns stay as they are, but ``text`` and ``n_chars`` give way to the results; nothing is cut or capped.
 """
 
 from __future__ import annotations
@@ -25,45 +32,77 @@ from pyspark.sql import DataFrame
 from kinweave.llm._spark import columns, map_arrow
 
 # Names of HTML elements by how they are treated.
-_SILENT = "script|style|title|noscript|template|svg|math|iframe|object|select|button|textarea|canvas|audio|video"
+_SILENT = "script|style|title|noscript|template|iframe|textarea"
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr label".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _SELF_CLOSING = {"p": frozenset(["p"]), "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr", "td", "th"]), "td": frozenset(["td", "th"]), "th": frozenset(["td", "th"]), "option": frozenset(["option"])}
-_ASIDE = frozenset("nav footer aside form header menu dialog head".split())
+_ASIDE = frozenset("nav footer aside form header menu dialog head svg math object select button canvas audio video".split())
 _MAIN = frozenset(["article", "main"])
-_BLOCKS = _ASIDE | _MAIN | frozenset("address blockquote body center dd details div dl dt fieldset figcaption figure h1 h2 h3 h4 h5 h6 hgroup hr html legend li ol p pre section summary table tbody td tfoot th thead tr ul br".split())
-#: Class, id and role words that mark a part which is not main text, and those which mark main text.
-_MARKED_ASIDE = re.compile(r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|sponsor(?:ed)?|promo(?:tion)?s?|banners?|cookies?|consent|gdpr|notices?|alerts?|popups?|modal|overlay|newsletter|subscribe|signup|login|sidebar|side|aside|nav|navigation|navbar|menus?|breadcrumbs?|footer|foot|masthead|header|topbar|comments?|commentlist|disqus|replies|respond|related|recommended|share|sharing|social|widgets?|toolbar|pager|pagination|search|tags|hidden|contentinfo|complementary|alertdialog|skip)(?:$|[\s_-])", re.I)
-_MARKED_MAIN = re.compile(r"(?:^|[\s_-])(?:article|main|post|entry|story|body|content|text)(?:$|[\s_-])", re.I)
-_ATTRIBUTE = re.compile(r"""(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
+_HEADINGS = frozenset(["h1", "h2", "h3", "h4", "h5", "h6"])
+# Words of class, id and role that declare a part which is not main text, and those that declare main text.
+_ASIDE_WORDS = frozenset(
+    """ad ads advert adverts advertisement advertisements advertising sponsor sponsored promo promos promotion promotions banner banners
+    cookie cookies consent gdpr notice notices alert alerts popup popups modal overlay newsletter subscribe signup login
+    sidebar side aside nav navigation navbar menu menus breadcrumb breadcrumbs footer foot masthead header topbar
+    comment comments commentlist disqus replies respond related recommended share sharing social widget widgets toolbar
+    pager pagination search tags hidden contentinfo complementary alertdialog skip""".split()
+)
+_MAIN_WORDS = frozenset("article main post entry story body content text".split())
+_HEADER_WORDS = frozenset(["header", "masthead"])
+_ATTRIBUTE = re.compile(r"""(?:^|[\s"'])(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
+_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+_ABOUT_OTHERS = re.compile(r"(?:^|(?<=\s))(?:has|with|without|no|hide|show)[-_]\S*", re.I)
 _TOKEN = re.compile(
-    rf"""<!--.*?(?:-->|\Z)|<({_SILENT})\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-z][^\s/>]*)((?:[^>"']++|"[^"]*"|'[^']*')*+>|[^>]*(?:>|\Z))""",
+    rf"""<!--.*?(?:-->|\Z)|<({_SILENT})(?=[\s/>]|\Z)[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-z][^\s/>]*)((?:[^>"']++|"[^"]*"|'[^']*')*+>|[^>]*(?:>|\Z))""",
     re.S | re.I,
 )
 
-FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "part", "item", "heading")
-# The labelled table: the features of a block in the order of FEATURES (part: -1 marked aside, 0 neither, 1 article;
-# links in per cent), and whether it is main text.
+FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "heading", "item", "article")
+# The labelled table: pages as their blocks in order. A block is main text (+), other text (-) or in a declared part (x,
+# only a neighbour); then its words, /per cent of them in links, h in a heading, i in a list item, a in an article.
 LABELLED = """
-4 0 0 0 60 0 1 0 1 1 | 60 0 4 0 80 0 1 0 0 1 | 2 0 60 0 50 0 1 0 0 1 | 1 0 30 0 1 0 1 0 0 1 | 1 0 1 0 0 0 1 0 0 1 | 250 0 3 0 2 0 1 0 0 1
-12 0 9 0 0 0 1 0 0 1 | 8 0 40 0 6 0 1 1 0 1 | 6 0 8 0 30 0 1 1 0 1 | 30 40 60 0 40 0 1 0 0 1 | 5 100 50 0 60 0 1 0 0 1 | 3 0 0 0 0 0 1 0 0 1
-90 5 70 10 0 0 1 0 0 1 | 15 0 20 0 200 0 1 0 1 1 | 10 100 35 0 0 0 1 0 0 1 | 7 60 45 5 38 0 1 1 0 1 | 400 1 3 0 5 0 1 0 0 1 | 20 0 1 100 9 0 1 0 0 1
-1 100 1 100 1 100 1 1 0 0 | 3 100 2 100 4 100 1 1 0 0 | 5 100 3 100 2 100 1 1 0 0 | 6 100 6 100 7 100 1 1 0 0 | 4 100 5 100 1 100 1 1 0 0
-1 100 0 0 1 100 -1 1 0 0 | 1 100 1 100 1 100 -1 1 0 0 | 2 100 1 100 9 0 -1 1 0 0 | 9 0 1 100 70 0 -1 0 0 0 | 40 0 3 0 60 0 -1 0 0 0 | 90 2 60 0 30 0 -1 0 0 0
-6 0 200 0 0 0 -1 0 0 0 | 12 0 80 0 0 0 -1 0 0 0 | 25 10 90 0 30 0 -1 0 0 0 | 120 0 20 0 100 0 -1 0 0 0 | 3 0 0 0 50 0 -1 0 1 0 | 5 0 60 0 20 0 -1 0 1 0
-1 0 5 0 1 0 -1 0 0 0 | 15 50 30 0 8 100 -1 0 0 0 | 60 0 40 0 80 0 -1 0 0 0 | 7 0 9 0 11 0 -1 1 0 0 | 300 0 100 0 0 0 -1 0 0 0 | 2 0 0 0 0 0 -1 0 0 0
-5 0 1 100 60 0 0 0 1 1 | 8 0 0 0 45 0 0 0 1 1 | 50 0 6 0 70 0 0 0 0 1 | 120 0 50 0 40 5 0 0 0 1 | 35 10 90 0 25 0 0 0 0 1 | 22 0 60 0 0 0 0 0 0 1
-4 0 70 0 55 0 0 0 0 1 | 9 0 40 0 80 0 0 0 0 1 | 3 0 45 0 90 0 0 0 1 1 | 80 20 0 0 5 0 0 0 0 1 | 18 0 30 0 20 0 0 1 0 1 | 30 0 0 0 0 0 0 0 0 1
-3 0 0 0 40 0 0 0 1 1 | 1 0 40 0 30 0 0 0 0 1 | 2 0 20 0 25 0 0 0 0 1 | 5 0 15 0 12 0 0 0 0 1 | 7 0 0 0 0 0 0 0 0 1 | 6 0 4 0 30 0 0 0 1 1
-1 100 1 100 1 100 0 1 0 0 | 2 100 3 100 40 0 0 1 0 0 | 6 0 90 0 0 0 0 0 0 0 | 5 100 60 0 4 100 0 0 0 0 | 4 0 2 100 3 100 0 0 0 0 | 12 90 5 100 8 100 0 0 0 0
-3 0 4 0 5 0 0 0 0 0 | 2 0 0 0 2 100 0 0 0 0 | 5 0 12 90 6 100 0 0 0 0 | 8 0 4 0 0 0 0 0 0 0 | 1 0 3 0 2 0 0 0 0 0 | 20 80 6 100 10 90 0 0 0 0
+x1/100i x1/100i x2/100i x1/100i x1/100i x8 +12ha +60a +1a +45a +120a +2a x4
+x1/100i x1/100i x1/100i x12 +6ha +24a +38a +9a +70a +31a +5a x4
+x2/100i x1/100i x9 +1ha +1a +1a +3a +250a +1a +18/20a x4
+x1/100i x5 +10ha +400/2a +15ha +90a +7/60ia +8ia +6/100ia +40a +10/100a x30
++8ha +2a +3a +2a +5a +1a x6
+-1/100i -1/100i -2/100i -1/100i -3/100i +7h +80 +45 +2 +60/5 +35 -4/100 -3/100 -5/90
+-2/100 -1/100 -1/100 +1h +1 +55 +30 +22/10 +2
+-3 -1 -2 +9h +120 +50/8 +6 +75 +4
+-4/50 -2/100 -2 +5h +18i +22i +15/20i +30i +40
+-6/100i -8/100i -7/100i -9/100i -5/100i +25 +33 +28/15 -6/100i -7/100i
+-2 -5/40 -3 +90/3 +1 +1 +65 +3h +48 +12 -2/100 -1/100 -12/90
++4h +6 +55 +8 +70 +9h +7 +20 +2
+-1/100 -1 -2 -1/100 +11h +44 +16/30 +52 +7 -1/100 -1 -2/100 -3
+-10/100 -12/95 -9/100 -14/90 +6h +60 +20/25 +35 +1h +45 -20/85 -15/100
++1h +1 +40 +2
++30 +45 +2h +3 +60
++3h +2 +50 +1 -8/100 -6/100i
 """
 
 
+def _features(words: np.ndarray, links: np.ndarray, heading: np.ndarray, item: np.ndarray, article: np.ndarray) -> np.ndarray:
+    """A row of FEATURES for each block of a page, from what each block has itself; links in per cent."""
+    around = [np.concatenate([[0], v])[:-1] if k < 0 else np.append(v, 0)[1:] for k in (-1, 1) for v in (words, links)]
+    return np.stack([words, links, *around, heading, item, article], 1)
+
+
+def labelled() -> tuple[np.ndarray, np.ndarray]:
+    """The features of the table's candidate blocks, and whether each is main text."""
+    x, y = [], []
+    for page in LABELLED.strip().splitlines():
+        found = [re.fullmatch(r"([-+x])(\d+)(?:/(\d+))?(h?)(i?)(a?)", b) for b in page.split()]
+        rows = _features(*(np.array(c, float) for c in zip(*((m[2], m[3] or 0, bool(m[4]), bool(m[5]), bool(m[6])) for m in found), strict=True)))
+        own = [i for i, m in enumerate(found) if m[1] != "x"]
+        x.append(rows[own])
+        y += [found[i][1] == "+" for i in own]
+    return np.concatenate(x), np.array(y)
+
+
 class Tree:
     """A binary decision tree: at each node a feature and threshold, at each leaf a class."""
 
-    def __init__(self, x: np.ndarray, y: np.ndarray, depth: int = 7, least: int = 1) -> None:
+    def __init__(self, x: np.ndarray, y: np.ndarray, depth: int = 12, least: int = 1) -> None:
         self.feature, self.threshold, self.left, self.right, self.answer = [], [], [], [], []
         self._grow(x, y, depth, least)
 
@@ -99,22 +138,41 @@ class Tree:
         return found
 
     def predict(self, x: np.ndarray) -> np.ndarray:
+        return np.array(self.answer)[self._leaves(x)]
+
+    def asks(self, x: np.ndarray, feature: int) -> np.ndarray:
+        """Whether a row's way through the tree tests the feature."""
+        above = np.zeros(len(self.feature), dtype=bool)
+        for node, f in enumerate(self.feature):  # parents come first
+            if f >= 0:
+                above[[self.left[node], self.right[node]]] = above[node] or f == feature
+        return above[self._leaves(x)]
+
+    def _leaves(self, x: np.ndarray) -> np.ndarray:
         node = np.zeros(len(x), np.int64)
         feature, threshold, left, right = map(np.array, (self.feature, self.threshold, self.left, self.right))
         while (inner := feature[node] >= 0).any():
             low = x[np.arange(len(x)), feature[node].clip(0)] <= threshold[node]
             node = np.where(inner, np.where(low, left[node], right[node]), node)
-        return np.array(self.answer)[node]
+        return node
 
 
 @lru_cache(maxsize=1)
 def trained() -> Tree:
-    rows = np.array([[float(v) for v in r.split()] for line in LABELLED.strip().splitlines() for r in line.split("|")])
-    return Tree(rows[:, :-1], rows[:, -1] > 0)
+    return Tree(*labelled())
+
+
+def declared(attributes: str) -> int:
+    """What the class, id and role of an element say of its part: -1 aside (-2 a header), 1 main text, 0 nothing."""
+    names = " ".join("".join(x) for x in _ATTRIBUTE.findall(attributes))
+    words = {w.lower() for w in _WORD.findall(_ABOUT_OTHERS.sub(" ", names))}
+    if aside := words & _ASIDE_WORDS:
+        return -2 if aside <= _HEADER_WORDS else -1
+    return int(bool(words & _MAIN_WORDS))
 
 
 class _Page:
-    """The blocks of a page: texts, and words, linked words, part, item and heading of each."""
+    """The blocks of a page: texts, and words, linked words, part (-1 aside, 1 article), item and heading of each."""
 
     def __init__(self) -> None:
         self.texts: list[str] = []
@@ -131,7 +189,7 @@ class _Page:
             if words:
                 own = [tag for tag, _ in self._open]
                 part = self._open[-1][1] if self._open else 0
-                heading = int(any(t in ("h1", "h2", "h3", "h4", "h5", "h6") for t in own))
+                heading = int(any(t in _HEADINGS for t in own))
                 self.rows.append((words.count(" ") + 1, self._linked, part, int("li" in own), heading))
                 self.texts.append(words)
             self._linked = 0
@@ -158,12 +216,13 @@ class _Page:
         elif tag in _MAIN and part == 0:
             part = 1
         if "=" in attributes and part >= 0 and tag not in ("html", "body"):
-            names = " ".join("".join(x) for x in _ATTRIBUTE.findall(attributes))
-            if _MARKED_MAIN.search(names):
-                part = 1
-            elif _MARKED_ASIDE.search(names):
+            said = declared(attributes)
+            if said == -1 or said == -2 and part == 0:  # an article's own header holds its title
                 part = -1
-        self._open.append((tag, part))
+            elif said == 1:
+                part = 1
+        if not (attributes.endswith("/>") and tag in ("svg", "math")):
+            self._open.append((tag, part))
 
     def closed(self, tag: str) -> None:
         if tag in _INLINE:
@@ -179,8 +238,8 @@ class _Page:
         self._flush()
 
 
-def blocks(html: str) -> tuple[list[str], np.ndarray]:
-    """The texts of a page's blocks and their features."""
+def blocks(html: str) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The texts of a page's blocks, their features, and whether each is a candidate."""
     page, at = _Page(), 0
     for m in _TOKEN.finditer(html):
         if m.start() > at:
@@ -195,17 +254,15 @@ def blocks(html: str) -> tuple[list[str], np.ndarray]:
     if at < len(html):
         page.text(html[at:])
     page.end()
-    rows = np.array(page.rows, float).reshape(-1, 5)
-    words, links = rows[:, 0], 100 * np.minimum(rows[:, 1] / rows[:, 0].clip(1), 1)
-    around = [np.concatenate([[0], v[:-1]]) if k < 0 else np.append(v[1:], 0) for k in (-1, 1) for v in (words, links)] if len(rows) else [words] * 4
-    return page.texts, np.stack([words, links, *around, rows[:, 2], rows[:, 3], rows[:, 4]], 1)
+    words, linked, part, item, heading = np.array(page.rows, float).reshape(-1, 5).T
+    return page.texts, _features(words, 100 * np.minimum(linked / words.clip(1), 1), heading, item, part == 1), part >= 0
 
 
 def main_text(html: str | None) -> str:
-    texts, features = blocks(html or "")
+    texts, features, candidates = blocks(html or "")
     if not texts:
         return ""
-    return " ".join(t for t, kept in zip(texts, trained().predict(features).tolist(), strict=True) if kept)
+    return " ".join(t for t, kept in zip(texts, (candidates & trained().predict(features)).tolist(), strict=True) if kept)
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -301,6 +301,48 @@ def test_main_text():
     assert html_extract.main_text(f"<article><p>{long}</p></article>") == long.strip()
 
 
+@pytest.mark.parametrize("name", ["comment-body", "post-comments", "sidebar-content", "footer-text", "cookie-content", "ad-text", "nav-main", "main-menu", "widget-body", "relatedPosts", "CommentList", "ad"])
+def test_declared_parts_are_no_main_text(name):
+    story = "<h1>Title here</h1><p>" + "word " * 40 + "</p>"
+    page = f"<html><body class='has-sidebar'><article>{story}<div class='{name}'><p>{'other ' * 50}</p></div><p>Ok then.</p></article></body></html>"
+    assert html_extract.main_text(page) == "Title here " + "word " * 40 + "Ok then."
+    assert html_extract.main_text(page.replace("article", "div")) == "Title here " + "word " * 40 + "Ok then."
+
+
+LONG, LINKS = " ".join(f"w{i}" for i in range(60)), "".join(f"<li><a href=x>Menu {i}</a></li>" for i in range(6))
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        (f"<ul>{LINKS}</ul><h1>Head</h1><p>Yes.</p><p>{LONG}</p><p>{LONG}</p><p>Ok then.</p>", f"Head Yes. {LONG} {LONG} Ok then."),
+        (f"<div>{LINKS}</div><div class=no-sidebar><h2>Two words</h2><p>{LONG}</p></div><ul>{LINKS}</ul>", f"Two words {LONG}"),
+        (f"<article><p>{LONG}</p><video-js>kept</video-js><button-group>this too</button-group><p>{LONG}</p></article>", f"{LONG} kept this too {LONG}"),
+        (f"<article><p>{LONG}</p><button>Buy</button><svg><text>x</text></svg><svg/><p>{LONG}</p><select><option>a</select></article>", f"{LONG} {LONG}"),
+        (f"<main><header><h1>Of the article</h1></header><p>{LONG}</p><footer>by</footer></main><header>Of the page</header>", f"Of the article {LONG}"),
+        (f"<div data-class='ad'><article><p>{LONG}</p><p>a</p><p>b</p></article></div>", f"{LONG} a b"),
+        (f"<STYLE>p</STYLE><scripted><p>{LONG}</p></scripted><script", LONG),
+    ],
+)
+def test_labelled_pages(page, want):
+    assert html_extract.main_text(page) == want
+
+
+def test_text_features_decide_most_blocks(spark):
+    """On the driver's pages: the article's blocks are chosen and no others, and the share that the article flag helps with."""
+    x, y = html_extract.labelled()
+    tree, article = html_extract.trained(), html_extract.FEATURES.index("article")
+    assert (tree.predict(x) == y).all() and tree.feature[0] != article
+    asked = total = 0
+    for (html,) in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("html").collect():
+        texts, features, candidates = html_extract.blocks(html)
+        assert (candidates & tree.predict(features) == (features[:, article] == 1)).all()
+        asked += tree.asks(features[candidates], article).sum()
+        total += candidates.sum()
+    print(f"{1 - asked / total:.3f} of {total} candidate blocks are decided without the article flag")
+    assert asked < total / 2
+
+
 def test_pages_keep_their_rows(spark):
     pages = spark.createDataFrame([(1, "u", PAGE, "t"), (1, "u", PAGE, "t"), (2, None, None, None), (None, "v", "", "x")], "page_id long, url string, html string, text string")
     got = html_extract.extract(pages).collect()
@@ -385,6 +427,8 @@ def test_no_letters_is_undetermined(spark):
 
 
 EXTRA = ["n_lines", "n_words", "score", "kept", "component_id", "_drop", "_spans", "contaminated", "sequence_id", "held_out"]
+#: Names that the operators use inside, and names that need quoting.
+EXTRA += ["quality", "toxic", "_id", "_k1", "_k2", "rep", "near", "positive", "codes", "first", "last", "key", "k1", "item", "base_failed", "n_chars", "a b", "a.b", "a`b", "_0", "1"]
 
 
 def operators(spark):
@@ -402,10 +446,11 @@ def operators(spark):
         "quality": lambda d: quality_rules.judge(d, labels),
         "toxicity": lambda d: toxicity.scores(d, labels),
         "language": lambda d: language_id.predict(d.withColumn("lang", F.lit("en"))),
+        "pages": lambda d: html_extract.extract(d.withColumnRenamed("text", "html")),
     }
 
 
-@pytest.mark.parametrize("name", ["lines", "classes", "rows", "passages", "packing", "contamination", "no benchmark", "quality", "toxicity", "language"])
+@pytest.mark.parametrize("name", ["lines", "classes", "rows", "passages", "packing", "contamination", "no benchmark", "quality", "toxicity", "language", "pages"])
 def test_awkward_tables(spark, name):
     run = operators(spark)[name]
     empty = frame(spark, [])
@@ -418,10 +463,56 @@ def test_awkward_tables(spark, name):
     least = 1 if name == "rows" else len(rows)
     assert got.count() == least or name == "rows"
     assert len(set(got.columns)) == len(got.columns)
+    if name not in ("classes", "rows", "packing"):
+        assert {"a b", "a.b", "a`b", "_k1", "_id"} <= set(got.columns)
+        assert all(r["a`b"] == r["_k1"] == "extra" for r in got.collect())
     only_null = spark.createDataFrame([(5, None), (6, None)], "doc_id long, text string")
     assert run(only_null).count() >= 1
 
 
+VARIED = [(1, "one text " * 30), (1, "quite another text " * 25), (None, "third text " * 30), (None, "one text " * 30), (2, "one text " * 30), (2, "one text " * 30)]
+
+
+@pytest.mark.parametrize("name", ["quality", "toxicity", "language"])
+def test_rows_of_one_id_are_judged_by_their_own_text(spark, name):
+    """Rows that repeat an id, or have none, get the answer that a table with an id for each row would give."""
+    run, given = operators(spark)[name], ("doc_id", "text", "held_out")
+    got = run(frame(spark, VARIED).withColumn("row", F.monotonically_increasing_id() * 0 + F.crc32(F.col("text").cast("binary")))).collect()
+    assert len(got) == len(VARIED)
+    by_text = {}
+    for r in got:
+        own = tuple(v for c, v in r.asDict().items() if c not in given)
+        by_text.setdefault(r["row"], set()).add(own)
+    assert len(by_text) == 3 and all(len(v) == 1 for v in by_text.values())
+
+
+def test_lines_of_rows_with_repeated_and_missing_ids(spark):
+    rows = [(2, "shared line of words\na"), (2, "shared line of words\nb"), (None, "shared line of words"), (5, "SHARED line of words \nc"), (None, "only without an id"), (None, "only without an id")]
+    got = sorted((str(r["doc_id"]), r["text"]) for r in line_dedup.dedup_lines(frame(spark, rows)).collect())
+    assert got == sorted([("2", "shared line of words\na"), ("2", "shared line of words\nb"), ("None", "shared line of words"), ("5", "c"), ("None", "only without an id"), ("None", "only without an id")])
+
+
+def test_two_words_with_equal_polynomials_stay_apart(spark):
+    """Thue and Morse's sequence and its complement collide under every polynomial modulo a power of two."""
+    a = "".join("ab"[bin(i).count("1") & 1] for i in range(2048))
+    b = a.translate(str.maketrans("ab", "ba"))
+    own = encoder(vocabulary())
+    assert [x.tolist() for x in own.encode(pa.array([a, b, a]))] == [own.tokenizer.encode(t, add_special_tokens=False).ids for t in (a, b, a)]
+    rows = [(i, f"{x} one two three") for i, x in enumerate((a, b, a))]
+    assert [v[1] for v in rows_of(ngram_join.similar_components(frame(spark, rows)), "n_shingles", "component_id").values()].count(0) == 2
+    spread = [(i, " ".join(x)) for i, x in enumerate((a, b))]
+    assert rows_of(substring_dedup.dedup_passages(frame(spark, spread)), "n_words", "n_removed", "kept_sha256") == brute.passages(spread)
+
+
+def test_pieces_that_share_a_hash_are_compared(monkeypatch):
+    from kinweave.llm import bpe
+
+    monkeypatch.setattr(bpe, "mix", lambda x: x & np.uint64(3))
+    own = bpe.Encoder(vocabulary())
+    texts = ["some words of a text", "and others, of 12 more", "some of these words"]
+    assert [x.tolist() for x in own.encode(pa.array(texts))] == [own.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_every_operator_has_a_query():
     assert [n for k in range(1, 11) for n in QUERIES if n.startswith(f"op{k}_")] == list(sorted(QUERIES, key=lambda n: int(re.match(r"op(\d+)", n)[1])))
     assert set(ORACLES) <= set(QUERIES)

@@ -135,10 +135,12 @@ def runs(docs: DataFrame, lengths: list[int], prints: np.ndarray, spans: np.ndar
 
 def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for r1, r2, length, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            h = np.frombuffer(raw, np.int64).reshape(-1, 2)
-            same = lambda x, kind, n=len(h): pa.array(np.full(n, x, kind))
-            yield pa.RecordBatch.from_arrays([same(r1, np.int64), same(r2, np.int64), same(length, np.int32), pa.array(np.arange(len(h))), pa.array(h[:, 0].copy()), pa.array(h[:, 1].copy())], ["r1", "r2", "length", "at", "h1", "h2"])
+        r1, r2, length = (batch.column(c).to_numpy(zero_copy_only=False) for c in range(3))
+        packed = batch.column(3).to_pylist()
+        n = np.array([len(x) // 16 for x in packed], np.int64)
+        h = np.frombuffer(b"".join(packed), np.int64).reshape(-1, 2)
+        rows = [*(np.repeat(x, n) for x in (r1, r2, length)), ranges(np.zeros(len(n), np.int64), n), h[:, 0].copy(), h[:, 1].copy()]
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in rows], ["r1", "r2", "length", "at", "h1", "h2"])
 
 
 def _covered(intervals: Column) -> Column:

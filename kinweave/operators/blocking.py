@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from kinweave.operators.contracts import require
+
 PASSES = {"city_building": ("city_norm", "building_norm"), "postcode": ("postcode_norm",), "city_street": ("city_norm", "street_norm")}
 
+BLOCKED = sorted({field for fields in PASSES.values() for field in fields})
+
 
 def block_members(signed: DataFrame) -> DataFrame:
     """(blocking_strategy, k1, k2, account_id): where each account stands; a pass needs all of its fields."""
@@ -42,14 +46,16 @@ def _check(max_block_size: int) -> None:
         raise ValueError("max_block_size must be at least two")
 
 
-def candidate_pairs(signed: DataFrame, max_block_size: int = 250) -> DataFrame:
+def candidate_pairs(signed: DataFrame, max_block_size: int = 250, check: bool = True) -> DataFrame:
     """Distinct pairs (account_a < account_b) of all passes, and which passes gave them.
 
     Blocks above the cap are deferred, as the audit says, before any pair is made: sizes are counted with partial
     aggregation and joined back, so an oversized block never reaches the pairing. Within a block each account meets the
-    accounts before it, gathered by a window of at most ``max_block_size`` rows.
+    accounts before it, gathered by a window of at most ``max_block_size`` rows. ``check=False`` is for signatures that
+    are known to have one row for each account.
     """
     _check(max_block_size)
+    require(signed, "Signatures", ["account_id", *BLOCKED], *(["account_id"] if check else []))
     members = block_members(signed)
     key = ["blocking_strategy", "k1", "k2"]
     allowed = _sizes(members).filter(F.col("block_size") <= max_block_size).select(*key)

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from kinweave.operators.contracts import require
 from kinweave.sources.schemas import NOISE_LEVELS
 
 # The weight of each kind of evidence, in the order in which they are summed.
@@ -34,9 +35,11 @@ def street_similarity(a: Column, b: Column) -> Column:
     return F.when((a == "") | (b == ""), 0.0).when(a == b, 1.0).otherwise(ratio)
 
 
-def pair_features(candidates: DataFrame, signed: DataFrame) -> DataFrame:
+def pair_features(candidates: DataFrame, signed: DataFrame, check: bool = True) -> DataFrame:
     """Features, availability, relation_score and baseline_match of each candidate pair; no truth comes near it."""
     fields = ["city_norm", "street_norm", "building_norm", "unit_norm", "postcode_norm", "family_token_norm", "exact_address_key"]
+    require(candidates, "Candidates", ["account_a", "account_b", "blocking_strategies", "blocking_passes"], *(["account_a", "account_b"] if check else []))
+    require(signed, "Signatures", ["account_id", *fields], *(["account_id"] if check else []))
     side = lambda s: signed.select(F.col("account_id").alias(f"account_{s}"), *[F.col(c).alias(f"{c}_{s}") for c in fields])
     joined = candidates.join(side("a"), "account_a", "left").join(side("b"), "account_b", "left")
     a, b = (lambda c, s=s: F.col(f"{c}_{s}") for s in ("a", "b"))
@@ -67,8 +70,9 @@ def pair_features(candidates: DataFrame, signed: DataFrame) -> DataFrame:
     return scored.select("account_a", "account_b", "blocking_strategies", "blocking_passes", *FEATURES, "postcode_available", "family_token_available", "relation_score", "baseline_match")
 
 
-def with_labels(pairs: DataFrame, truth: DataFrame) -> DataFrame:
+def with_labels(pairs: DataFrame, truth: DataFrame, check: bool = True) -> DataFrame:
     """Pairs within one split, with its name, building, noise and whether the accounts are related."""
+    require(truth, "Truth", ["account_id", "true_group_id", "split", "building_id", "noise_level"], *(["account_id"] if check else []))
     rank = F.array_position(F.array(*[F.lit(n) for n in NOISE_LEVELS]), F.col("noise_level"))
     side = lambda s: truth.select(F.col("account_id").alias(f"account_{s}"), *[F.col(c).alias(f"{c}_{s}") for c in ("true_group_id", "split")], rank.alias(f"noise_{s}"), F.col("building_id").alias(f"building_{s}"))
     joined = pairs.join(side("a"), "account_a", "left").join(side("b"), "account_b", "left")

@@ -33,6 +33,7 @@ def _check(frame: DataFrame, needed: list[str], value: str, allowed: tuple[str,
     if missing:
         raise FeedbackError(f"Missing required columns: {missing}")
     rows = canonical(frame, value, lower)
+    other = F.when(~F.col(value).isin(list(allowed)), F.substring(value, 1, 40))
     some = lambda c: F.coalesce(F.max(F.coalesce(c, F.lit(True)).cast("int")), F.lit(0))
     facts = rows.agg(
         F.count("*").alias("rows"),
@@ -40,7 +41,8 @@ def _check(frame: DataFrame, needed: list[str], value: str, allowed: tuple[str,
         *[some(~F.col(s).rlike(REFERENCE)).alias(f"{s}_form") for s in ("a", "b")],
         some(F.col("a") == F.col("b")).alias("self"),
         some(F.col(value).isNull() | (F.col(value) == "")).alias("empty"),
-        F.collect_set(F.when(~F.col(value).isin(list(allowed)), F.substring(value, 1, 40))).alias("other"),
+        F.count(other).alias("others"),
+        F.min(other).alias("other"),
     ).first()
     if not facts["rows"]:
         raise FeedbackError("Input must not be empty")
@@ -55,8 +57,8 @@ def _check(frame: DataFrame, needed: list[str], value: str, allowed: tuple[str,
         raise FeedbackError("Each account pair may appear only once")
     if facts["empty"]:
         raise FeedbackError(f"{value} must not be null or blank")
-    if facts["other"]:
-        raise FeedbackError(f"Unsupported {what}: {sorted(facts['other'])}")
+    if facts["others"]:
+        raise FeedbackError(f"Unsupported {what}: {facts['others']} rows, such as {facts['other']!r}")
     return rows.select("pair_left", "pair_right", value)
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -39,12 +41,38 @@ def check_edges(accounts: DataFrame, pairs: DataFrame, prediction: str, score: s
         raise GraphError("Predicted pairs contain accounts outside the supplied account list")
 
 
-def connected(edges: DataFrame) -> DataFrame:
+#: So many counted edges at most are joined by one task; more go through rounds.
+ONE_TASK_EDGES = 200_000
+#: Edges of one unrestricted component that a task may hold (about 200 bytes each).
+COMPONENT_EDGES = 5_000_000
+
+
+def _at_once(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Union-find over all edges (a, b) of a task: every account with the least one that it is linked to."""
+    root: dict[str, str] = {}
+
+    def top(x: str) -> str:
+        while (up := root.setdefault(x, x)) != x:
+            root[x] = x = root[up]
+        return x
+
+    for part in parts:
+        for a, b in zip(part["a"], part["b"], strict=True):
+            x, y = top(a), top(b)
+            root[max(x, y)] = min(x, y)
+    if root:
+        yield pd.DataFrame({"account_id": list(root), "root": [top(x) for x in list(root)]})
+
+
+def connected(edges: DataFrame, one_task: int = ONE_TASK_EDGES) -> DataFrame:
     """(account_id, root): the least account of each account's component, for all endpoints of the edges (a, b).
 
     Every round each node takes the least label around it and then its label's own label, so that rounds grow with the
-    logarithm of a path. A round's labels go to the checkpoint folder.
+    logarithm of a path. A round's labels go to the checkpoint folder. Few counted edges are joined at once.
     """
+    edges = materialize(edges.select("a", "b"))
+    if edges.count() <= one_task:
+        return materialize(edges.repartition(1).mapInPandas(_at_once, "account_id string, root string"))
     both = materialize(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = materialize(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("root")))
     while True:
@@ -108,33 +136,40 @@ def merge_under_cap(edges: list[tuple[str, str, float]], cap: int) -> tuple[dict
     return {x: top(x) for x in list(root)}, told
 
 
-def rooted_edges(pairs: DataFrame, prediction: str, score: str) -> DataFrame:
-    """The active edges (a, b, score) with the root of their unrestricted component."""
-    active = materialize(pairs.filter(F.col(prediction) == 1).select(F.col("account_a").alias("a"), F.col("account_b").alias("b"), F.col(score).cast("double").alias("score")))
+def rooted_edges(pairs: DataFrame, prediction: str, score: str, *more: str) -> DataFrame:
+    """The active edges (a, b, score, ...) with the root of their unrestricted component."""
+    active = materialize(pairs.filter(F.col(prediction) == 1).select(F.col("account_a").alias("a"), F.col("account_b").alias("b"), F.col(score).cast("double").alias("score"), *more))
     return active.join(connected(active).withColumnRenamed("account_id", "a"), "a")
 
 
 def guarded_assignments(accounts: DataFrame, pairs: DataFrame, prediction: str, score: str, cap: int, check: bool = True) -> tuple[DataFrame, DataFrame]:
-    """(assignments, audit) under a size cap.
+    """(assignments, audit) under a size cap; the audit carries ``split`` if the pairs have it.
 
     Whether an edge is accepted depends only on stronger edges of its own unrestricted component, so these are worked
-    on apart, each in one task: its memory bound is the largest unrestricted component.
+    on apart, each in one task: its memory bound is the largest unrestricted component, and one of more than
+    ``COMPONENT_EDGES`` edges is refused with an error.
     """
     if cap < 2:
         raise GraphError("max_component_size must be at least two")
     if check:
         check_edges(accounts, pairs, prediction, score, all_endpoints=False)
-    edges = rooted_edges(pairs, prediction, score)
+    more = ["split"] if "split" in pairs.columns else []
+    edges = rooted_edges(pairs, prediction, score, *more)
+    names = [c.split()[0] for c in AUDIT.split(", ")] + more
+    largest_root = edges.groupBy("root").count().agg(F.max("count")).first()[0] or 0
+    if largest_root > COMPONENT_EDGES:
+        raise GraphError(f"One unrestricted component has {largest_root} edges; at most {COMPONENT_EDGES} can be capped at once. Raise the threshold or lower the block cap")
 
     def cut(group: pd.DataFrame) -> pd.DataFrame:
         roots, told = merge_under_cap(list(zip(group["a"], group["b"], group["score"], strict=True)), cap)
-        rows = [(None, None, *t) for t in told] + [(x, r, *[None] * 7) for x, r in roots.items()]
-        return pd.DataFrame(rows, columns=["account_id", "root", *[c.split()[0] for c in AUDIT.split(", ")]])
+        split = dict(zip(zip(group["a"], group["b"], strict=True), group["split"], strict=True)) if more else {}
+        rows = [(None, None, *t, *([split[t[0], t[1]]] if more else [])) for t in told] + [(x, r, *[None] * len(names)) for x, r in roots.items()]
+        return pd.DataFrame(rows, columns=["account_id", "root", *names])
 
-    done = materialize(edges.groupBy("root").applyInPandas(cut, "account_id string, root string, " + AUDIT))
+    done = materialize(edges.groupBy("root").applyInPandas(cut, "account_id string, root string, " + AUDIT + ", split string" * len(more)))
     roots = done.filter("account_id IS NOT NULL").select("account_id", "root")
     assigned = _numbered(accounts.join(roots, "account_id", "left").select("account_id", F.coalesce("root", "account_id").alias("root")))
-    audit = done.filter("account_id IS NULL").select(*[c.split()[0] for c in AUDIT.split(", ")])
+    audit = done.filter("account_id IS NULL").select(*names)
     return assigned, audit
 
 

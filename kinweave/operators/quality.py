@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinweave.functions.scores import confusion, harmonic, pairs_of, share
+from kinweave.operators.contracts import require
 from kinweave.operators.features import true_pairs
 from kinweave.sources.schemas import NOISE_LEVELS
 
@@ -41,6 +42,8 @@ def in_noise_order(df: DataFrame, *then: str) -> DataFrame:
 
 def contingency(assigned: DataFrame, truth: DataFrame) -> DataFrame:
     """(predicted_group_id, true_group_id, n, n_predicted, n_true): how groups and truth overlap."""
+    require(assigned, "Assignments", ["account_id", "predicted_group_id"], "account_id")
+    require(truth, "Truth", ["account_id", "true_group_id"], "account_id")
     joined = truth.select("account_id", "true_group_id").join(assigned, "account_id", "left")
     lacking = F.raise_error(F.lit("Assignments must cover every truth account"))
     group = F.coalesce("predicted_group_id", lacking.cast("string")).alias("predicted_group_id")

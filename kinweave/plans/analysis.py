@@ -22,6 +22,17 @@ from kinweave.sources.config import Settings
 from kinweave.sources.files import write_csv, write_json
 
 
+# Fixed names: the sections and keys of the metadata, and the names of the reports, are those that readers expect.
+PRIVACY = {
+    "raw_addresses_exported": False,
+    "raw_account_ids_exported": False,
+    "identifier_method": "keyed hash of the id (HMAC, SHA-256), its first 20 hex digits",
+    "purpose": "signals that people look at; nothing is decided by them",
+    "retention": "inputs and reports are to be removed as the policy of the case says",
+    "access": "reviewers with permission only, and never against the persons concerned",
+}
+
+
 @dataclass
 class Prepared:
     signed: DataFrame
@@ -33,7 +44,7 @@ def prepare(orders: DataFrame, settings: Settings, snapshot_date: str | None = N
     signed = materialize(signatures(orders, snapshot_date, settings.address_history_days))
     if signed.isEmpty():
         raise ValueError("No observations are available at the requested snapshot date")
-    pairs = materialize(pair_features(candidate_pairs(signed, settings.max_block_size), signed))
+    pairs = materialize(pair_features(candidate_pairs(signed, settings.max_block_size, check=False), signed, check=False))
     return Prepared(signed, pairs, block_audit(signed, settings.max_block_size))
 
 
@@ -80,8 +91,8 @@ def analyze(orders: DataFrame, output: str, *, identifier_salt: str, settings: S
         "policy": {"version": settings.policy_version, "threshold": settings.policy_threshold, "max_component_size": settings.policy_max_component_size},
         "blocking": {"candidate_pairs": ready.pairs.count(), "max_block_size": settings.max_block_size, "deferred_oversized_blocks": blocks.filter("block_decision = 'deferred_oversized'").count()},
         "review": {"predicted_groups": profiles.count(), "deferred_component_edges": audit.filter("guardrail_decision = 'deferred_component_cap'").count()},
-        "privacy": {"raw_addresses_exported": False, "raw_account_ids_exported": False, "identifier_method": "HMAC-SHA256 truncated to 20 hex characters", "purpose": "human review of shared-address signals"},
+        "privacy": PRIVACY,
         "artifact_fingerprint": fingerprint(safe, edges, profiles, blocks),
     }
-    write_json(told, f"{reports}/analysis_metadata.json")
+    write_json(orders.sparkSession, told, f"{reports}/analysis_metadata.json")
     return told

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import dataclasses
-from pathlib import Path
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,7 +15,7 @@ from kinweave.operators.storage import materialize
 from kinweave.operators.validation import validate_truth
 from kinweave.plans.analysis import fingerprint, prepare
 from kinweave.sources.config import Settings
-from kinweave.sources.files import write_csv, write_json
+from kinweave.sources.files import write_csv, write_json, write_text
 from kinweave.sources.synthetic import generate
 
 STABLE = ("guarded_pair_precision", "guarded_pair_recall", "guarded_pair_f1", "guarded_component_precision", "guarded_component_recall", "guarded_component_f1", "guarded_bcubed_f1")
@@ -133,8 +132,8 @@ def reproduce(spark: SparkSession, output: str | None = None, settings: Settings
             write_csv(spark.createDataFrame(seeds), f"{out}/policy_stability.csv", "seed")
         write_csv(all_groups, f"{out}/predicted_group_assignments.csv", "account_id")
         write_csv(profiles, f"{out}/review_groups.csv", "predicted_group_id")
-        write_json(told, f"{out}/metrics.json")
-        Path(f"{out}/run_summary.md").write_text(summary(told), encoding="utf-8")
+        write_json(spark, told, f"{out}/metrics.json")
+        write_text(spark, summary(told), f"{out}/run_summary.md")
     return told
 
 

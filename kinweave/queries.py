@@ -36,21 +36,21 @@ def _signed(spark: SparkSession, d: str) -> DataFrame:
     return signatures(observations(spark, d), history_days=SETTINGS.address_history_days)
 
 
-def _features(spark: SparkSession, d: str) -> DataFrame:
-    signed = materialize(_signed(spark, d))
-    return pair_features(candidate_pairs(signed, SETTINGS.max_block_size), signed)
+def _features(spark: SparkSession, d: str, signed: DataFrame | None = None) -> DataFrame:
+    signed = signed or materialize(_signed(spark, d))  # one row an account, as they are grouped by it
+    return pair_features(candidate_pairs(signed, SETTINGS.max_block_size, check=False), signed, check=False)
 
 
-def _scored(spark: SparkSession, d: str) -> DataFrame:
-    return materialize(quality.with_threshold(with_labels(_features(spark, d), truth(spark, d)), THRESHOLD))
+def _scored(spark: SparkSession, d: str, signed: DataFrame | None = None) -> DataFrame:
+    return materialize(quality.with_threshold(with_labels(_features(spark, d, signed), truth(spark, d), check=False), THRESHOLD))
 
 
 def _accounts(spark: SparkSession, d: str) -> DataFrame:
     return truth(spark, d).select("account_id")
 
 
-def _guarded(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    pairs = _scored(spark, d)
+def _guarded(spark: SparkSession, d: str, signed: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    pairs = _scored(spark, d, signed)
     assigned, audit = guarded_assignments(_accounts(spark, d), pairs, "enhanced_match", "relation_score", CAP)
     return pairs, assigned, audit
 
@@ -94,9 +94,18 @@ def observation_summary(spark: SparkSession, d: str) -> DataFrame:
 
 
 def contract_violations(spark: SparkSession, d: str) -> DataFrame:
-    own = observations(spark, d)
-    facts = validation.observation_facts(own.withColumn("unit", F.repeat("unit", 100)).withColumn("city", F.when(F.col("unit") != "", F.col("city"))))
-    return facts.select("order_id_blank", "account_id_blank", "order_id_repeated", "nowhere", "longest", "undated")
+    """How many rows break each rule, on orders of which some are made to: every rule is broken by a known part."""
+    number = F.substring("order_id", 5, 12).cast("long")
+    own = observations(spark, d).withColumn("n", number)
+    nowhere = F.col("n") % 101 == 3
+    bad = own.select(
+        F.when(F.col("n") % 97 == 1, F.lit(" \t")).when(F.col("n") % 89 == 2, "ORD-TWICE").otherwise(F.col("order_id")).alias("order_id"),
+        F.when(F.col("n") % 83 != 4, F.col("account_id")).alias("account_id"),
+        *[F.when(nowhere, F.lit(x)).otherwise(F.col(c)).alias(c) for c, x in (("city", " "), ("street", ""), ("building", None), ("postcode", ""))],
+        F.repeat("unit", 100).alias("unit"), "family_token",
+        F.when(F.col("n") % 79 == 5, "soon").when(F.col("n") % 73 != 6, F.col("order_date").cast("string")).alias("order_date"),
+    )
+    return validation.observation_facts(bad).select("order_id_blank", "account_id_blank", "order_id_repeated", "nowhere", "longest", "undated")
 
 
 def crossing_groups(spark: SparkSession, d: str) -> DataFrame:
@@ -113,8 +122,9 @@ def document_normalization(spark: SparkSession, d: str) -> DataFrame:
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Accounts that share an address: groups under the size cap, with their evidence."""
-    pairs, assigned, audit = _guarded(spark, sf_dir)
-    return _rounded(group_profiles(assigned, _signed(spark, sf_dir), mark_guarded(pairs, audit), "guardrail_match"))
+    signed = materialize(_signed(spark, sf_dir))
+    pairs, assigned, audit = _guarded(spark, sf_dir, signed)
+    return _rounded(group_profiles(assigned, signed, mark_guarded(pairs, audit), "guardrail_match"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -313,7 +323,11 @@ def _with(ctes: str, select: str) -> str:
 
 ORACLES: dict[str, str] = {
     "observation_summary": f"SELECT count(*) AS orders, count(DISTINCT account_id) AS accounts, strftime(min(order_date), '%Y-%m-%d') AS first_order_date, strftime(max(order_date), '%Y-%m-%d') AS last_order_date FROM ({OBSERVATIONS})",
-    "contract_violations": f"WITH o AS (SELECT *, repeat(unit, 100) AS u FROM ({OBSERVATIONS})) SELECT 0::INTEGER AS order_id_blank, 0::INTEGER AS account_id_blank, (count(*) > count(DISTINCT order_id))::INTEGER AS order_id_repeated, max((street = '' AND building = '' AND postcode = '' AND u = '')::INTEGER) AS nowhere, max(greatest(length(u), length(city), length(street)))::INTEGER AS longest, 0::INTEGER AS undated FROM o",
+    "contract_violations": f"""WITH o AS (SELECT *, CAST(substr(order_id, 5, 12) AS BIGINT) AS n FROM ({OBSERVATIONS})),
+bad AS (SELECT *, CASE WHEN n % 97 = 1 THEN ' ' WHEN n % 89 = 2 THEN 'twice' ELSE order_id END AS i FROM o)
+SELECT count(*) FILTER (i = ' ')::BIGINT AS order_id_blank, count(*) FILTER (n % 83 = 4)::BIGINT AS account_id_blank, (SELECT count(*) FROM (SELECT i FROM bad GROUP BY i HAVING count(*) > 1))::BIGINT AS order_id_repeated,
+  count(*) FILTER (n % 101 = 3 OR (trim(city) = '' AND street = '' AND building = '' AND postcode = ''))::BIGINT AS nowhere,
+  max(greatest(100 * length(unit), CASE WHEN n % 101 = 3 THEN 0 ELSE greatest(length(city), length(street)) END))::INTEGER AS longest, count(*) FILTER (n % 79 = 5 OR n % 73 = 6)::BIGINT AS undated FROM bad""",
     "crossing_groups": f"SELECT true_group_id FROM ({TRUTH}) GROUP BY 1 HAVING count(DISTINCT substr(account_id, 13, 2)::INT % 2) > 1",
     "document_normalization": rf"WITH t AS (SELECT doc_id, {_norm('replace(text, chr(223), chr(115) || chr(115))')} AS t FROM documents) SELECT doc_id, length(t)::BIGINT AS n_chars, sha256(t) AS normalized_sha256 FROM t",
     "normalized_addresses": _with(_signature_sql(100_000), f"SELECT order_id, account_id, {', '.join(_FIELDS)}, family_token_norm FROM norm"),
@@ -329,7 +343,7 @@ ORACLES: dict[str, str] = {
     "true_pairs": f"WITH t AS (SELECT * FROM ({TRUTH}) WHERE split = 'test') SELECT a.account_id AS account_a, b.account_id AS account_b FROM t a JOIN t b USING (true_group_id) WHERE a.account_id < b.account_id",
     "connected_components": _with(_LABELLED + "," + _NODES + "," + _components_sql("plain", "on_edge"), _numbered_sql("plain", "root")),
     "guarded_components": _with(_GUARDED, "SELECT * FROM assigned"),
-    "guardrail_audit": _with(_GUARDED, "SELECT a AS account_a, b AS account_b, round(score, 9) AS relation_score, na AS component_a_size_before, nb AS component_b_size_before, CASE WHEN decision = 'accepted_redundant' THEN na ELSE na + nb END AS proposed_component_size, decision AS guardrail_decision FROM walk WHERE step > 0"),
+    "guardrail_audit": _with(_GUARDED, "SELECT a AS account_a, b AS account_b, round(score, 9) AS relation_score, na AS component_a_size_before, nb AS component_b_size_before, CASE WHEN decision = 'accepted_redundant' THEN na ELSE na + nb END AS proposed_component_size, decision AS guardrail_decision, split FROM walk JOIN (SELECT account_a, account_b, split FROM pair) p ON p.account_a = a AND p.account_b = b WHERE step > 0"),
     "group_profiles": _with(_GUARDED, """, tok AS (SELECT predicted_group_id, family_token_norm, count(*) AS n FROM assigned JOIN sig USING (account_id) GROUP BY ALL),
 g AS (SELECT predicted_group_id, sum(n)::BIGINT AS members, coalesce(max(n) FILTER (family_token_norm <> '')::DOUBLE / sum(n) FILTER (family_token_norm <> ''), 0) AS share FROM tok GROUP BY 1),
 l AS (SELECT x.predicted_group_id, min(relation_score) AS low, avg(relation_score) AS mean FROM marked JOIN assigned x ON x.account_id = account_a JOIN assigned y ON y.account_id = account_b WHERE guardrail_match = 1 AND x.predicted_group_id = y.predicted_group_id GROUP BY 1)

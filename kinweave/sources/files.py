@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-from pathlib import Path
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,6 +28,16 @@ def write_csv(df: DataFrame, path: str, *order: str) -> None:
     out.write.mode("overwrite").option("header", True).csv(path)
 
 
-def write_json(values: dict[str, Any], path: str | Path) -> None:
-    Path(path).parent.mkdir(parents=True, exist_ok=True)
-    Path(path).write_text(json.dumps(values, indent=2, sort_keys=True), encoding="utf-8")
+def write_text(spark: SparkSession, text: str, path: str) -> None:
+    """A small report, written to whatever file system the path names, as tables are."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    out = files.create(place, True)
+    try:
+        out.write(bytearray(text.encode("utf-8")))
+    finally:
+        out.close()
+
+
+def write_json(spark: SparkSession, values: dict[str, Any], path: str) -> None:
+    write_text(spark, json.dumps(values, indent=2, sort_keys=True), path)

@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 from kinweave.functions.text import fold, normalize_text, number_field, postcode
 from kinweave.operators import policy, quality
 from kinweave.operators.blocking import block_audit, candidate_pairs
+from kinweave.operators.contracts import InputError
 from kinweave.operators.features import WEIGHTS, pair_features, with_labels
-from kinweave.operators.graph import GraphError, check_edges, component_assignments, group_profiles, guarded_assignments, merge_under_cap
+from kinweave.operators.graph import GraphError, check_edges, component_assignments, connected, group_profiles, guarded_assignments, merge_under_cap
 from kinweave.operators.privacy import account_reference
 from kinweave.operators.signatures import signatures
 from kinweave.operators.validation import ContractError, validate_observations, validate_truth
@@ -112,19 +113,19 @@ def test_contracts(spark):
     frame = lambda *rows_: spark.createDataFrame(list(rows_), ORDER)
     seen = validate_observations(frame(base, ("O2", *base[1:-1], "01/03/2025")))
     assert (seen.orders, seen.accounts, seen.last_order_date, seen.checks_passed) == (2, 1, "2025-01-03", 10)
-    for bad, message in [((base, base), "order_id must be unique"), ((("O1", " ", *base[2:]),), "account_id must not"), (((*base[:-1], "soon"),), "valid"), ((("O1", "A1", None, " ", "", "1", None, "f", "2025-01-01"),), "location"), ((("O1", "A1", "x" * 513, *base[3:]),), "512"), ((), "empty")]:
+    for bad, message in [((base, base), "order_id must be unique"), ((("O1", " ", *base[2:]),), "account_id must not"), (((*base[:-1], "soon"),), "valid"), ((("O1", "A1", None, " ", "", "1", None, "f", "2025-01-01"),), "no city"), ((("O1", "A1", "x" * 513, *base[3:]),), "512"), ((), "no orders")]:
         with pytest.raises(ContractError, match=message):
             validate_observations(frame(*bad))
     with pytest.raises(ContractError, match="must not appear"):
         validate_observations(frame(base).withColumn("split", F.lit("test")))
-    with pytest.raises(ContractError, match="Missing order columns"):
+    with pytest.raises(ContractError, match="lack the columns"):
         validate_observations(frame(base).drop("city"))
     orders, truth = generate(spark, seed=1, buildings=30)
     assert validate_truth(orders, truth).checks_passed == 18
     crossed = truth.withColumn("split", F.when(F.col("account_id") == "ACC-000001", F.lit("test")).when(F.col("building_id") == 1, F.lit("train")).otherwise(F.col("split")))
-    with pytest.raises(ContractError, match="cross data splits"):
+    with pytest.raises(ContractError, match="several splits"):
         validate_truth(orders, crossed)
-    with pytest.raises(ContractError, match="account sets"):
+    with pytest.raises(ContractError, match="same accounts"):
         validate_truth(orders.filter("account_id <> 'ACC-000001'"), truth)
 
 
@@ -206,6 +207,30 @@ def test_feedback(spark):
             audit_feedback(edges, spark.createDataFrame(bad, schema))
 
 
+def test_inputs_that_would_multiply_pairs_are_refused(spark):
+    orders, truth = generate(spark, seed=1, buildings=30)
+    signed = signatures(orders).cache()
+    twice, pairs = signed.union(signed.limit(1)), candidate_pairs(signed)
+    for call in (lambda: candidate_pairs(twice), lambda: pair_features(pairs, twice), lambda: pair_features(pairs.union(pairs.limit(1)), signed), lambda: candidate_pairs(signed.drop("city_norm")), lambda: pair_features(pairs, signed.drop("unit_norm")), lambda: with_labels(pair_features(pairs, signed), truth.union(truth.limit(1)))):
+        with pytest.raises(InputError):
+            call()
+    groups = truth.select("account_id", F.lit("PRED-00001").alias("predicted_group_id"))
+    with pytest.raises(InputError):
+        quality.bcubed(groups.union(groups.limit(1)), truth)
+
+
+def test_few_edges_are_joined_at_once(spark):
+    edges = spark.createDataFrame([(f"n{i:02}", f"n{i + 1:02}") for i in range(30)] + [("x", "y"), ("z", "y")], "a string, b string")
+    rooted = [sorted(map(tuple, connected(edges, one_task=n).collect())) for n in (0, 1000)]
+    assert rooted[0] == rooted[1] and dict(rooted[0])["z"] == "x" and dict(rooted[0])["n30"] == "n00"
+
+
+def test_audit_carries_the_split(spark):
+    pairs = spark.createDataFrame([("A", "B", 0.9, 1, "test"), ("B", "C", 0.8, 1, "test")], PAIR + ", split string")
+    _, audit = guarded_assignments(spark.createDataFrame([("A",), ("B",), ("C",)], "account_id string"), pairs, "enhanced_match", "relation_score", 2)
+    assert sorted((r["guardrail_decision"], r["split"]) for r in audit.collect()) == [("accepted_merge", "test"), ("deferred_component_cap", "test")]
+
+
 def test_settings(tmp_path):
     assert load_settings() == Settings()
     path = tmp_path / "c.json"

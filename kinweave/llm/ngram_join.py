@@ -32,6 +32,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -110,7 +111,7 @@ _MET = "doc_id long, _k1 long, _k2 long, n int, s1 long, s2 long, a long, b long
 def _route(batches: Iterator[pa.RecordBatch], k: int, percent: int, bits: int) -> Iterator[pa.RecordBatch]:
     """One row of ids, sizes and set hashes for each batch, and one row for each hash range of what its sets send."""
     names = [x.split()[0] for x in _SENT.split(", ")]
-    turn = 0
+    turn = TaskContext.get().partitionId()  # the rows of a few batches a task are dealt out too
     for batch in batches:
         missing = batch.column(0).is_null().to_numpy(zero_copy_only=False)
         ids = batch.column(0).fill_null(0).to_numpy(zero_copy_only=False)

@@ -284,7 +284,7 @@ def _blocks(members: DataFrame, percent: int, fair: int) -> DataFrame:
     whole = weight.groupBy("comp").agg(F.sum("w").alias("all"))
     large = weight.join(whole, "comp").filter(F.col("all") > fair)
     blocks = large.groupBy("comp").agg(F.map_from_entries(F.collect_list(F.struct("band", F.ceil(2 * F.col("w") / fair).cast("int").alias("blocks")))).alias("of"))
-    placed = banded.join(blocks, "comp", "left")
+    placed = banded.join(small_side(materialize(blocks), row_bytes=256), "comp", "left")  # a row for each large group
     place = lambda band, block: F.struct(band.cast("int").alias("band"), block.cast("int").alias("block"))
     nowhere = place(F.lit(0), F.lit(0))
     alone = placed.filter("of IS NULL").select("rep", "s1", "s2", "comp", nowhere.alias("p"), nowhere.alias("q"))
@@ -333,6 +333,7 @@ def _links(docs: DataFrame, members: DataFrame, k: int, percent: int, fair: int,
 def _narrowed(docs: DataFrame, members: DataFrame, k: int, percent: int, fair: int) -> DataFrame:
     """Members with their large groups cut down to what a slice of the hash space cannot rule out."""
     large = members.groupBy("comp").agg(F.sum("n").alias("w")).filter(F.col("w") > fair).select("comp")
+    large = small_side(materialize(large))
     wide = materialize(members.join(large, "comp", "left_semi"))
     if wide.isEmpty():
         return members

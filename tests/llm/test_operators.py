@@ -375,6 +375,23 @@ def test_rules_find_the_low(spark):
     assert row.select(quality_rules.verdict([[(2, True, 0.5)]]).alias("k")).first()["k"] is False and row.select(quality_rules.verdict([]).alias("k")).first()["k"] is True
 
 
+def test_verdict_is_that_of_the_list(spark):
+    """Every row's verdict against the rules applied one by one to its statistics, and its base rule."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    stats = quality_rules.statistics(docs.select("doc_id", "text"))
+    rules = quality_rules.train(stats, labels)
+    assert rules
+    got = {r["doc_id"]: (r["base_failed"], r["kept"]) for r in quality_rules.judge(docs.select("doc_id", "text"), labels).collect()}
+    own = stats.toPandas()
+    x = own.select_dtypes("number")
+    ratio = lambda a, b: x[a] / np.maximum(x[b], 1) if b else x[a]
+    features = np.stack([ratio(*pair) for pair in (("n_words", None), ("word_chars", "n_words"), ("n_symbols", "n_words"), ("n_dup_lines", "n_lines"), ("n_repeat_words", "n_words"), ("n_upper", "word_chars"), ("n_digits", "word_chars"), ("n_marks", "n_words"), ("n_distinct", "n_words"), ("n_words", "n_lines"))], 1).astype(float)
+    for i, doc_id in enumerate(own["doc_id"]):
+        failed = own["n_words"][i] < 20 or 100 * own["n_repeat_words"][i] > 30 * own["n_words"][i]
+        low = any(all(features[i, f] > t if above else features[i, f] <= t for f, above, t in rule) for rule in rules)
+        assert got[doc_id] == (failed, not failed and not low)
+
+
 SF = "/root/testdata/sf0.1"
 
 

@@ -185,11 +185,17 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield linked(*found)
 
 
-def divide_skip(sets: list[np.ndarray], percent: int, mu: float = 0.01, whole: np.ndarray | None = None) -> list[tuple[int, int]]:
+#: So many long lists are probed at once; then candidates that cannot reach their overlap any more are dropped.
+PROBES = 16
+
+
+def divide_skip(sets: list[np.ndarray], percent: int, mu: float = 0.001, whole: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Links (i, j) that span the components of all similar pairs among the sets, by T-occurrence search.
 
-    A query's T is the least overlap with any similar set. Its L longest lists are set aside; a candidate must be met
-    T - L times in the merged shorter ones, and only then is looked up in the long lists.
+    A query's T is the least overlap with any set of a similar size here. Its L longest lists are set aside; a candidate
+    must be met T - L times in the merged shorter ones, and only then is looked up in the long lists, the shortest of
+    them first and only until too many have missed it. Candidates are looked up some at a time, so that those of a
+    component that one of them links are not looked up at all.
 
     With ``whole``, the sizes of the whole sets, ``sets`` are their parts in one slice of the hash space: a pair is then
     linked unless the slice proves that it is not similar. At most a set's size less the least overlap can be missing.
@@ -203,6 +209,7 @@ def divide_skip(sets: list[np.ndarray], percent: int, mu: float = 0.01, whole: n
     postings, start = owner[order], np.concatenate([[0], np.cumsum(df)])
     probe = inverse[order] * total + postings  # sorted: a list's documents in order, list by list
     edges = np.concatenate([[0], np.cumsum(held)])
+    entire, by_size = bool((held == sizes).all()), np.sort(sizes)
     root = np.arange(total)
     inside = [[i] for i in range(total)]
     links: list[tuple[int, int]] = []
@@ -224,11 +231,27 @@ def divide_skip(sets: list[np.ndarray], percent: int, mu: float = 0.01, whole: n
         key = lists * total + doc
         return int((probe[np.minimum(np.searchsorted(probe, key), len(probe) - 1)] == key).sum())
 
+    def confirmed(q: int, long: np.ndarray, docs: np.ndarray, met: np.ndarray) -> np.ndarray:
+        """The documents, met so often in the short lists, that the long ones bring to the least overlap."""
+        want = least(q, docs)
+        for at in range(0, len(long), PROBES):
+            able = met + (len(long) - at) >= want
+            docs, met, want = docs[able], met[able], want[able]
+            if not len(docs):
+                break
+            key = long[at : at + PROBES, None] * total + docs
+            met = met + (probe[np.minimum(np.searchsorted(probe, key), len(probe) - 1)] == key).sum(axis=0)
+        return docs[met >= want]
+
     def apart(q: int, docs: np.ndarray) -> np.ndarray:
         return docs[(root[docs] != root[q]) & (sizes[docs] * 100 >= percent * sizes[q]) & (sizes[docs] * percent <= 100 * sizes[q])]
 
     for q in range(1, total):
-        need = int(held[q] - sizes[q] + -(-percent * sizes[q] // 100))
+        if entire:
+            smallest = by_size[np.searchsorted(by_size, -(-percent * sizes[q] // 100))]  # at most its own size
+            need = int(-(-percent * (sizes[q] + smallest) // (100 + percent)))
+        else:
+            need = int(held[q] - sizes[q] + -(-percent * sizes[q] // 100))
         if need <= 0:  # the slice cannot rule all out
             near = np.flatnonzero((sizes[:q] * 100 >= percent * sizes[q]) & (sizes[:q] * percent <= 100 * sizes[q]))
             for other in near[np.asarray(least(q, near)) <= 0].tolist():
@@ -258,14 +281,22 @@ def divide_skip(sets: list[np.ndarray], percent: int, mu: float = 0.01, whole: n
                 runs.append(docs)
         if len(runs) < need - aside:
             continue
-        last, met = -1, 0
+        last, met, often = -1, 0, []
         for doc in heapq.merge(*[r.tolist() for r in runs], [total]):
             if doc == last:
                 met += 1
                 continue
-            if met and met >= need - aside and root[last] != root[q] and met + shared(long, last) >= least(q, last):
-                join(q, last)
+            if met and met >= need - aside:
+                often.append((last, met))
             last, met = doc, 1
+        waiting, some = np.array(often, np.int64).reshape(-1, 2), PROBES
+        while len(waiting):
+            for doc in confirmed(q, long, *waiting[:some].T).tolist():
+                if root[doc] != root[q]:
+                    join(q, doc)
+            waiting = waiting[some:]
+            waiting = waiting[root[waiting[:, 0]] != root[q]]
+            some *= 2
     return links
 
 

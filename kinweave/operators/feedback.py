@@ -28,22 +28,29 @@ def canonical(frame: DataFrame, value: str, lower: bool = False) -> DataFrame:
     return frame.select(F.least(a, b).alias("pair_left"), F.greatest(a, b).alias("pair_right"), a.alias("a"), b.alias("b"), own.alias(value))
 
 
-def _check(frame: DataFrame, needed: list[str], value: str, allowed: tuple[str, ...], what: str, lower: bool) -> DataFrame:
-    missing = sorted(set(needed) - set(frame.columns))
-    if missing:
-        raise FeedbackError(f"Missing required columns: {missing}")
-    rows = canonical(frame, value, lower)
+def answer_facts(rows: DataFrame, value: str, allowed: tuple[str, ...]) -> DataFrame:
+    """One row with how many canonical rows break each rule, and how many pairs come again."""
     other = F.when(~F.col(value).isin(list(allowed)), F.substring(value, 1, 40))
-    some = lambda c: F.coalesce(F.max(F.coalesce(c, F.lit(True)).cast("int")), F.lit(0))
+    broken = lambda c: F.count(F.when(F.coalesce(c, F.lit(True)), 1))
     facts = rows.agg(
         F.count("*").alias("rows"),
-        *[some((F.col(s).isNull()) | (F.col(s) == "")).alias(f"{s}_blank") for s in ("a", "b")],
-        *[some(~F.col(s).rlike(REFERENCE)).alias(f"{s}_form") for s in ("a", "b")],
-        some(F.col("a") == F.col("b")).alias("self"),
-        some(F.col(value).isNull() | (F.col(value) == "")).alias("empty"),
+        *[broken((F.col(s).isNull()) | (F.col(s) == "")).alias(f"{s}_blank") for s in ("a", "b")],
+        *[broken(~F.col(s).rlike(REFERENCE)).alias(f"{s}_form") for s in ("a", "b")],
+        broken(F.col("a") == F.col("b")).alias("self"),
+        broken(F.col(value).isNull() | (F.col(value) == "")).alias("empty"),
         F.count(other).alias("others"),
         F.min(other).alias("other"),
-    ).first()
+    )
+    pairs = rows.groupBy("pair_left", "pair_right").count().agg(F.count(F.when(F.col("count") > 1, 1)).alias("repeated"))
+    return facts.crossJoin(pairs)  # one row and one row
+
+
+def _check(frame: DataFrame, needed: list[str], value: str, allowed: tuple[str, ...], what: str, lower: bool) -> DataFrame:
+    missing = sorted(set(needed) - set(frame.columns))
+    if missing:
+        raise FeedbackError(f"Missing required columns: {missing}")
+    rows = canonical(frame, value, lower)
+    facts = answer_facts(rows, value, allowed).first()
     if not facts["rows"]:
         raise FeedbackError("Input must not be empty")
     for s in ("a", "b"):
@@ -53,7 +60,7 @@ def _check(frame: DataFrame, needed: list[str], value: str, allowed: tuple[str,
             raise FeedbackError(f"account_ref_{s} must contain pseudonymous references in REF-<20 hex> format")
     if facts["self"]:
         raise FeedbackError("Self-pairs are not allowed")
-    if not rows.groupBy("pair_left", "pair_right").count().filter("count > 1").isEmpty():
+    if facts["repeated"]:
         raise FeedbackError("Each account pair may appear only once")
     if facts["empty"]:
         raise FeedbackError(f"{value} must not be null or blank")

@@ -15,10 +15,11 @@ from kinweave.functions.text import normalize_text
 from kinweave.operators import feedback, policy, quality, validation
 from kinweave.operators.blocking import block_audit, candidate_pairs
 from kinweave.operators.features import pair_features, true_pairs, with_labels
-from kinweave.operators.graph import component_assignments, group_profiles, guarded_assignments, mark_guarded, review_building
+from kinweave.operators.graph import component_assignments, group_profiles, guarded_assignments, largest, mark_guarded, review_building
 from kinweave.operators.privacy import account_reference
 from kinweave.operators.signatures import exact_key_groups, normalized_addresses, signatures
 from kinweave.operators.storage import materialize
+from kinweave.plans.benchmark import STABLE, stability_summary
 from kinweave.sources.config import Settings
 from kinweave.sources.driver_tables import OBSERVATIONS, TRUTH, observations, truth
 
@@ -114,12 +115,54 @@ def crossing_groups(spark: SparkSession, d: str) -> DataFrame:
     return validation.crossing(own, "true_group_id", "split")
 
 
+def truth_violations(spark: SparkSession, d: str) -> DataFrame:
+    """How many rows of truth break each rule, on rows of which some are made to."""
+    n = F.substring("account_id", 5, 10).cast("long")
+    bad = truth(spark, d).select(
+        F.when(n % 31 == 1, F.lit(" \t")).when(n % 29 == 2, "ACC-TWICE").otherwise(F.col("account_id")).alias("account_id"),
+        F.when(n % 23 != 3, F.col("true_group_id")).alias("true_group_id"),
+        F.when(n % 19 == 4, "").otherwise(F.col("building_id").cast("string")).alias("building_id"),
+        F.when(n % 17 == 5, "holdout").when(n % 13 != 6, F.col("split")).alias("split"),
+        F.when(n % 11 == 7, "extreme").when(n % 7 != 3, F.col("noise_level")).alias("noise_level"),
+    )
+    return validation.truth_facts(bad).withColumn("splits", F.size("splits"))
+
+
+def unmatched_accounts(spark: SparkSession, d: str) -> DataFrame:
+    """Accounts that only orders or only truth knows, after each lost some."""
+    n = F.substring("account_id", 5, 10).cast("long")
+    return validation.unmatched_accounts(observations(spark, d).filter(n % 5 != 0), truth(spark, d).filter(n % 7 != 0))
+
+
+def character_folding(spark: SparkSession, d: str) -> DataFrame:
+    """Letters of several code points that are written alike, joiners and digits, around each nation's name."""
+    text = F.concat(F.lit(_LETTERS + "\u0640 "), "n_name", F.lit("\u200c\u06f4\u0665 "), F.col("n_nationkey").cast("string"))
+    names = spark.read.parquet(f"{d}/nation.parquet").select("n_nationkey", text.alias("t"))
+    return names.select("n_nationkey", normalize_text("t").alias("folded"))
+
+
+def largest_groups(spark: SparkSession, d: str) -> DataFrame:
+    """The size of the largest group without and with the cap."""
+    pairs, assigned, _ = _guarded(spark, d)
+    return spark.createDataFrame([(largest(component_assignments(_accounts(spark, d), pairs, "enhanced_match")), largest(assigned))], "before_cap long, after_cap long")
+
+
+def measure_spread(spark: SparkSession, d: str) -> DataFrame:
+    """The stability summary, of measures over the policies instead of over seeds."""
+    rows = _curve(spark, d).select(*[F.col(c).alias(m) for c, m in zip(_SPREAD, STABLE, strict=True)])
+    return _rounded(stability_summary(rows))
+
+
 def document_normalization(spark: SparkSession, d: str) -> DataFrame:
     text = normalize_text("text")
     docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", text.alias("t"))
     return docs.select("doc_id", F.char_length("t").cast("long").alias("n_chars"), F.sha2("t", 256).alias("normalized_sha256"))
 
 
+_LETTERS = "يىكةۀؤإأٱ"
+_SPREAD = ("component_precision", "component_recall", "component_f1", "bcubed_precision", "bcubed_recall", "bcubed_f1", "weighted_error_cost")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Accounts that share an address: groups under the size cap, with their evidence."""
     signed = materialize(_signed(spark, sf_dir))
@@ -162,6 +205,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pseudonymized_refs": lambda s, d: _accounts(s, d).select("account_id", account_reference("account_id", SALT).alias("account_ref")),
     "feedback_summary": lambda s, d: _rounded(feedback.feedback_summary(*feedback.validated(*_answers(s, d)))),
     "feedback_unknown_pairs": lambda s, d: _unknown(s, d),
+    "feedback_violations": lambda s, d: _broken_answers(s, d),
+    "truth_violations": truth_violations,
+    "unmatched_accounts": unmatched_accounts,
+    "character_folding": character_folding,
+    "largest_groups": largest_groups,
+    "selected_threshold": lambda s, d: s.createDataFrame([(policy.select_threshold(materialize(_threshold_curve(s, d))),)], "threshold double"),
+    "marked_policy": lambda s, d: policy.mark_selected(_curve(s, d), THRESHOLD + 1e-6, CAP).select("threshold", "max_component_size", "selected"),
+    "measure_spread": measure_spread,
 }
 
 
@@ -172,6 +223,20 @@ def _unknown(spark: SparkSession, d: str) -> DataFrame:
     return feedback.unknown_pairs(deferred, feedback.canonical(answers, "review_outcome", lower=True)).select("pair_left", "pair_right", "review_outcome")
 
 
+def _broken_answers(spark: SparkSession, d: str) -> DataFrame:
+    """How many answers break each rule, on answers of which some are made to, by the first digit of a reference."""
+    _, answers = _answers(spark, d)
+    digit = F.substring("account_ref_a", 5, 1)
+    again = answers.filter(digit == "5").select(F.col("account_ref_b").alias("account_ref_a"), F.col("account_ref_a").alias("account_ref_b"), "review_outcome")
+    bad = answers.select(
+        F.when(digit == "0", "REF-XYZ").when(digit == "1", " ").otherwise(F.col("account_ref_a")).alias("account_ref_a"),
+        F.when(digit == "2", F.col("account_ref_a")).otherwise(F.col("account_ref_b")).alias("account_ref_b"),
+        F.when(digit == "3", "maybe").when(digit != "4", F.col("review_outcome")).alias("review_outcome"),
+    )
+    rows = feedback.canonical(bad.union(again), "review_outcome", lower=True)
+    return feedback.answer_facts(rows, "review_outcome", feedback.OUTCOMES).drop("other")
+
+
 # DuckDB's side.
 
 
@@ -314,7 +379,7 @@ def _ref(column: str) -> str:
     return f"concat('REF-', substr(sha256(from_hex('{outer}') || from_hex(sha256(from_hex('{inner}') || {column}::BLOB))), 1, 20))"
 
 
-_ANSWERS = _GUARDED + f""", edge AS (SELECT {_ref('a')} AS ra, {_ref('b')} AS rb, decision, CASE (substr(a, 5, 10)::BIGINT + 3 * substr(b, 5, 10)::BIGINT) % 4 WHEN 0 THEN 'match' WHEN 1 THEN 'not_match' WHEN 2 THEN 'uncertain' END AS said FROM walk WHERE step > 0)"""
+_ANSWERS = _GUARDED + f""", edge AS MATERIALIZED (SELECT {_ref('a')} AS ra, {_ref('b')} AS rb, decision, CASE (substr(a, 5, 10)::BIGINT + 3 * substr(b, 5, 10)::BIGINT) % 4 WHEN 0 THEN 'match' WHEN 1 THEN 'not_match' WHEN 2 THEN 'uncertain' END AS said FROM walk WHERE step > 0)"""
 
 
 def _with(ctes: str, select: str) -> str:
@@ -369,4 +434,20 @@ c AS (SELECT scope, count(*) AS t, count(said) AS r, count(*) FILTER (said IN ('
 SELECT scope, t AS total_edges, r AS reviewed_edges, d AS decisive_edges, m AS confirmed_matches, x AS confirmed_non_matches, u AS uncertain_edges, round(r / t::DOUBLE, 9) AS review_coverage, round(d::DOUBLE / nullif(r, 0), 9) AS decisive_share_of_reviewed,
   round(m::DOUBLE / nullif(d, 0), 9) AS match_rate_among_decisive, round(x::DOUBLE / nullif(d, 0), 9) AS non_match_rate_among_decisive FROM c"""),
     "feedback_unknown_pairs": _with(_ANSWERS, "SELECT least(ra, rb) AS pair_left, greatest(ra, rb) AS pair_right, said AS review_outcome FROM edge WHERE said IS NOT NULL AND decision <> 'deferred_component_cap'"),
+    "feedback_violations": _with(_ANSWERS, """, x AS (SELECT rb AS a, ra AS b, said, substr(rb, 5, 1) AS h FROM edge WHERE said IS NOT NULL),
+bad AS (SELECT CASE h WHEN '0' THEN 'REF-XYZ' WHEN '1' THEN '' ELSE a END AS a, CASE h WHEN '2' THEN a ELSE b END AS b, CASE h WHEN '3' THEN 'maybe' WHEN '4' THEN NULL ELSE said END AS said FROM x UNION ALL SELECT b, a, said FROM x WHERE h = '5')
+SELECT count(*) AS "rows", count(*) FILTER (a = '') AS a_blank, count(*) FILTER (b = '') AS b_blank, count(*) FILTER (NOT regexp_full_match(a, 'REF-[0-9a-f]{20}')) AS a_form, count(*) FILTER (NOT regexp_full_match(b, 'REF-[0-9a-f]{20}')) AS b_form,
+  count(*) FILTER (a = b) AS self, count(*) FILTER (said IS NULL) AS empty, count(*) FILTER (said = 'maybe') AS others, (SELECT count(*) FROM (SELECT 1 FROM bad GROUP BY least(a, b), greatest(a, b) HAVING count(*) > 1)) AS repeated FROM bad"""),
+    "truth_violations": f"""WITH t AS (SELECT *, CAST(substr(account_id, 5, 10) AS BIGINT) AS n FROM ({TRUTH})),
+bad AS (SELECT CASE WHEN n % 31 = 1 THEN ' ' WHEN n % 29 = 2 THEN 'twice' ELSE account_id END AS a, CASE WHEN n % 23 <> 3 THEN true_group_id END AS g, CASE WHEN n % 19 = 4 THEN '' ELSE CAST(building_id AS VARCHAR) END AS b,
+  CASE WHEN n % 17 = 5 THEN 'holdout' WHEN n % 13 <> 6 THEN split END AS s, CASE WHEN n % 11 = 7 THEN 'extreme' WHEN n % 7 <> 3 THEN noise_level END AS z FROM t)
+SELECT count(*) AS "rows", count(*) FILTER (a = ' ') AS account_id_blank, count(*) FILTER (g IS NULL) AS true_group_id_blank, count(*) FILTER (b = '') AS building_id_blank, count(*) FILTER (s IS NULL) AS split_blank,
+  count(DISTINCT a) AS accounts, count(DISTINCT g) AS groups, count(DISTINCT b) AS buildings, (count(DISTINCT s) FILTER (s <> 'holdout'))::INTEGER AS splits, count(*) FILTER (s = 'holdout') AS other_split, count(*) FILTER (z IS NULL OR z = 'extreme') AS other_noise FROM bad""",
+    "unmatched_accounts": f"""WITH o AS (SELECT DISTINCT account_id FROM ({OBSERVATIONS}) WHERE substr(account_id, 5, 10)::BIGINT % 5 <> 0), t AS (SELECT account_id FROM ({TRUTH}) WHERE substr(account_id, 5, 10)::BIGINT % 7 <> 0)
+SELECT account_id, 'orders' AS found_in FROM o WHERE account_id NOT IN (SELECT account_id FROM t) UNION ALL SELECT account_id, 'truth' FROM t WHERE account_id NOT IN (SELECT account_id FROM o)""",
+    "character_folding": "SELECT n_nationkey, concat_ws(' ', translate('" + _LETTERS + "', 'يىكةۀؤإأٱ', 'ییکههوااا'), replace(lower(n_name), '_', ' '), '45', CAST(n_nationkey AS VARCHAR)) AS folded FROM nation",
+    "largest_groups": _with(_GUARDED, "SELECT (SELECT max(n) FROM (SELECT count(*) AS n FROM raw GROUP BY root)) AS before_cap, (SELECT max(n) FROM (SELECT count(*) AS n FROM assigned GROUP BY predicted_group_id)) AS after_cap"),
+    "selected_threshold": _with(_LABELLED + f", policies(t, shown, cap) AS (VALUES {_GRID}), c AS MATERIALIZED (SELECT shown AS threshold, {_confusion_sql('(relation_score >= t)::INT')} FROM pair, (SELECT DISTINCT t, shown FROM policies) WHERE split = 'validation' GROUP BY shown), f AS (SELECT max(f1) AS m FROM c), tied AS (SELECT c.* FROM c, f WHERE abs(f1 - m) <= 1e-8 + 1e-5 * m), p AS (SELECT max(precision) AS m FROM tied)", "SELECT max(threshold) AS threshold FROM tied, p WHERE abs(precision - m) <= 1e-8 + 1e-5 * m"),
+    "marked_policy": _with(f"policies(t, shown, cap) AS (VALUES {_GRID})", f"SELECT shown AS threshold, cap::INTEGER AS max_component_size, round(shown, 4) = {THRESHOLD} AND cap = {CAP} AS selected FROM policies"),
+    "measure_spread": _with(_CURVE + ", v AS (SELECT unnest([" + ", ".join(f"'{m}'" for m in STABLE) + "]) AS metric, unnest([p, r, f, xp, xr, xf, weighted_error_cost]) AS v FROM curve)", "SELECT metric, round(avg(v), 9) AS mean, round(stddev_pop(v), 9) AS std, round(min(v), 9) AS min, round(max(v), 9) AS max FROM v GROUP BY metric"),
 }
